@@ -1,8 +1,8 @@
 """Weak supervision for text quality, in DataFrame functions only.
 
 Rules look at a document and vote good (+1), bad (-1) or abstain (0). Expectation-maximisation over the histogram of
-vote patterns (at most 3 to the number of rules rows, whatever the corpus) estimates the class balance and, for each
-rule and class, how often it votes the right way when it votes. The posterior probability of good replaces an
+vote patterns (at most 3 to the number of rules rows, whatever the corpus) estimates for each rule
+how often it is right when it votes. The posterior probability of good replaces an
 all-rules-must-pass filter.
 
 Null and empty texts have no words: every count is 0 and base_failed is true. Repeated rows are judged alike.
@@ -21,7 +21,7 @@ from .common import cut, words_column
 RULES = ("symbols", "pipes", "shouting", "dup_lines", "repeats", "variety", "word_length", "prose")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
-PRIOR = 20
+PRIOR, BALANCE = 20, 0.6
 
 
 def repeat_words(words: Column) -> Column:
@@ -89,22 +89,21 @@ def votes(q: str = "_q_") -> Column:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict:
-    """EM over (votes, count) rows. Returns the log odds of the class balance and of each rule's accuracy.
+    """EM over (votes, count) rows. Returns the log odds of the class balance, a parameter, and of each rule's accuracy.
 
     A rule has one accuracy: how often it is right when it votes; whether it votes says nothing. Its Beta prior counts as
     PRIOR votes, 19 in 20 of them right. A weight is never negative, so that the classes cannot swap.
     Without documents only the priors are left."""
-    n = sum(c for _, c in patterns)
-    good = [0.05 if any(v < 0 for v in p) else 0.95 for p, _ in patterns]
+    start = math.log(BALANCE / (1 - BALANCE))
+    good = [0.01 if any(v < 0 for v in p) else 0.99 for p, _ in patterns]
     for _ in range(rounds):
-        balance = (sum(g * c for g, (_, c) in zip(good, patterns)) + 1) / (n + 2)
-        start, weights = math.log(balance / (1 - balance)), []
+        weights = []
         for j in range(len(RULES)):
             right = 0.95 * PRIOR + sum((g if p[j] > 0 else 1 - g) * c for g, (p, c) in zip(good, patterns) if p[j])
             a = right / (PRIOR + sum(c for p, c in patterns if p[j]))
             weights.append(max(0.0, math.log(a / (1 - a))))
         good = [1 / (1 + math.exp(-max(-50.0, min(50.0, start + sum(w * v for w, v in zip(weights, p)))))) for p, _ in patterns]
-    return {"start": start, "weights": weights, "balance": balance}
+    return {"start": start, "weights": weights}
 
 
 def posterior(model: dict, v: Column) -> Column:
