@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules vote, EM weighs them, the posterior decides. Null texts count as empty and fail."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("v")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_mixing"] = mixing.ORACLE
