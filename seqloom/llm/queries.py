@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_mixing"] = mixing.ORACLE
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
