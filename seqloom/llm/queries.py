@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules
+from . import minhash, mixing, packing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,7 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: a batch must fit in a worker
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,3 +39,27 @@ ORACLES["op9_mixing"] = mixing.ORACLE
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 5-word shingle similarity 0.75 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_minhash"] = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as h from s),
+r as (select *, row_number() over (partition by doc_id order by f, h) as pos from (select *, count(*) over (partition by h) as f from x)),
+prefix as (select doc_id, n, h from r where pos <= n - ceil(0.75 * n) + 1 and f > 1),
+c as (select distinct a.doc_id as a, b.doc_id as b from prefix a join prefix b on a.h = b.h and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+e as (select a, b from c join s sa on sa.doc_id = a join s sb on sb.doc_id = b
+      where 100 * len(list_intersect(sa.s, sb.s)) >= 75 * (len(sa.s) + len(sb.s) - len(list_intersect(sa.s, sb.s)))),
+both_ as (select a, b from e union all select b, a from e),
+reach as (select a as id, a as seen from both_ union select reach.id, both_.b from reach join both_ on reach.seen = both_.a),
+m as (select id, min(seen) as c from reach group by id)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(m.c, s.doc_id) as component_id, coalesce(m.c, s.doc_id) = s.doc_id as kept
+from s left join m on m.id = s.doc_id
+"""
