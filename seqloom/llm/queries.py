@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality_rules
+from . import minhash, mixing, packing, quality_rules, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ m as (select id, min(seen) as c from reach group by id)
 select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(m.c, s.doc_id) as component_id, coalesce(m.c, s.doc_id) = s.doc_id as kept
 from s left join m on m.id = s.doc_id
 """
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as read back from their archives; intact says that length and digest hold."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
