@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality_rules, warc
+from . import extract, minhash, mixing, packing, pu_quality, quality_rules, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,16 @@ from s left join m on m.id = s.doc_id
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages as read back from their archives; intact says that length and digest hold."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of the held-out fold stay unread."""
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.scores(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))
