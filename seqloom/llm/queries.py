@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, minhash, mixing, packing, pu_quality, quality_rules, warc
+from . import extract, minhash, mixing, multi_index, packing, pu_quality, quality_rules, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,9 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of the held-out fold stay unread."""
     docs = table(spark, sf_dir, "documents")
     return pu_quality.scores(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
