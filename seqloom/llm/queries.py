@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, minhash, mixing, multi_index, packing, pu_quality, quality_rules, warc
+from . import extract, minhash, mixing, multi_index, packing, pu_quality, quality_rules, run_index, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur twice."""
+    return run_index.measure(table(spark, sf_dir, "documents"))
