@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, minhash, mixing, multi_index, packing, pu_quality, quality_rules, run_index, warc
+from . import extract, minhash, mixing, multi_index, packing, pitman_yor, pu_quality, quality_rules, run_index, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that occur twice."""
     return run_index.measure(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the model of the training folds."""
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
