@@ -295,7 +295,7 @@ def strip(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def left(body, spans):
-        return body.combine(spans, lambda x, s: rest(bytes(x), merged(list(s))).decode("utf-8", "ignore"))
+        return body.combine(spans, lambda x, s: rest(bytes(x), merged([] if s is None else list(s))).decode("utf-8", "ignore"))
 
     j = _joined(docs)
     j = j.withColumn("text", F.when(F.col("_spans").isNotNull(), left("_body", "_spans")).otherwise(F.col("text")))
