@@ -72,7 +72,7 @@ def predictor() -> disorder.Predictor:
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 9) for n in names})
+    return df.withColumns({n: F.round(n, 9) + F.lit(0.0) for n in names})  # no negative zero
 
 
 # Sources and scalar functions
