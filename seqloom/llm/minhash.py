@@ -2,14 +2,14 @@
 
 Two permutations make a whole signature: the first (sigma) spreads a shingle over the ring of 2**32 points, the second (pi),
 circularly shifted by k, gives coordinate k as min pi(sigma(s) + k). BANDS bands of ROWS coordinates make buckets: a pair
-of similarity 0.75 shares no bucket with probability (1 - 0.75**ROWS)**BANDS, 5e-6 here.
+of similarity 0.75 shares no bucket with probability (1 - 0.75**ROWS)**BANDS, 4e-6 here.
 
 Documents with equal sets are one class, represented by the smallest doc_id, so exact copies cost one row. Inside a bucket
-no pairs are listed. First every class is compared with the bucket's smallest (a star). Links so far give components; only
-pairs of a bucket that lie in different components still matter, and of those only pairs that sizes and the triangle
-inequality of Jaccard distance (against the star's centre) leave open. They are compared in rounds in which up to PIVOTS
-of a bucket's classes outside the centre's component meet the others and then leave the bucket, until no bucket has two
-components. So no link between components is lost, and a bucket of n copies costs n comparisons, not n squared.
+no pairs are listed. First every class is compared with the bucket's smallest (a star); links give components. Only buckets
+that still hold two components go on, and of those only pairs across components matter. Tasks that hold a part of a bucket
+(at most BLOCK classes of its largest component, and BLOCK others) compare sizes and SKETCH coordinates of the signatures
+in memory and let out pairs of which half the coordinates agree; a pair of similarity 0.75 fails that with probability
+1e-9. Those pairs are confirmed on full sets. Links inside a component are not looked for: they change no component.
 
 Words are ASCII-lowered and split at ASCII white space. Null and empty texts have an empty set and link with nothing. Rows
 with null doc_id link with nothing and have a null component. Repeated rows link with each other by their equal sets; rows
@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, cut, drop, lower_words, mix64, tidy
+from .common import WordHash, components, cut, lower_words, mix64, tidy
 
-WIDTH, ROWS, BANDS, PIVOTS, PERCENT = 5, 4, 32, 16, 75
+WIDTH, ROWS, BANDS, SKETCH, BLOCK, PERCENT = 5, 6, 64, 128, 2048, 75
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _words = WordHash()
 
@@ -49,15 +49,14 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 def signature(s: np.ndarray, size: int = ROWS * BANDS) -> np.ndarray:
     """size coordinates from the permutation pi shifted circularly by 0 .. size - 1."""
     sigma = (mix64(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
-    shift = np.arange(size, dtype=np.uint32)[:, None]
+    # pi(x) = f(x * m): the product of the shift is added, not the shift multiplied
+    sigma *= np.uint32(0x7FEB352D)
+    shift = (np.arange(size, dtype=np.uint32) * np.uint32(0x7FEB352D))[:, None]
     low = np.full(size, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(sigma), 1024):
-        y = sigma[None, at : at + 1024] + shift
-        y *= np.uint32(0x7FEB352D)
+    for at in range(0, len(sigma), 512):
+        y = sigma[None, at : at + 512] + shift
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x846CA68B)
-        y ^= y >> np.uint32(16)
-        y *= np.uint32(0x9E3779B1)
         np.minimum(low, y.min(axis=1), out=low)
     return low
 
@@ -69,13 +68,30 @@ def _bands(low: np.ndarray) -> list[int]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, digests, bands = [], [], []
+        sizes, digests, bands, sketches = [], [], [], []
         for t in b.column(1).cast(pa.binary()):
             s = shingles(t.as_py())
+            low = signature(s) if len(s) else None
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            bands.append(_bands(signature(s)) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+            bands.append(_bands(low) if len(s) else None)
+            sketches.append((low[:SKETCH] >> np.uint32(8)).astype(np.uint8).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+
+
+def _likely(t: pa.Table) -> pa.Table:
+    """Pairs across components of a part of a bucket whose sizes and sketches allow the similarity. side: 0 for both sides
+    of the part, else 1 or 2."""
+    ids, n, c, side = (t[x].to_numpy() for x in ("id", "n", "component", "side"))
+    sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+    out = []
+    for i in left:
+        near = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
+        near = near[(sk[near] == sk[i]).sum(1) * 2 >= SKETCH]
+        out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
+    a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,50 +119,39 @@ _linked = f"100 * common >= {PERCENT} * total and total > 0"
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document: doc_id, n_shingles, digest; per class of equal sets with a doc_id: id, n, bands."""
-    scanned = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-scan")
+    """Per document: doc_id, n_shingles, digest; per class of equal sets with a doc_id: id, n, bands, sketch."""
+    scanned = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash-scan")
     known = scanned.where("digest is not null and doc_id is not null")
-    return scanned, known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    return scanned, known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
 
 def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, component) of the classes that are linked to another."""
     spark = docs.sparkSession
-    rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = cut(rows.join(full, "bucket"), "minhash-buckets")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    by = Window.partitionBy("bucket")
+    rows = reps.select("id", F.explode("bands").alias("bucket")).withColumns({"m": F.count("*").over(by), "centre": F.min("id").over(by)})
+    members = cut(rows.where("m > 1").drop("m"), "minhash-buckets")
+    sketches = cut(reps.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
+    tidy(spark)
+    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(sketches.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
     tidy(spark)
     star = _compare(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts)
     links = star.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    far = star.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"))
-    open_ = cut(members.join(far, ["centre", "id"], "left").fillna(0.0, ["far"]), "minhash-open")
-    seen = [star]
-    drop(members)
-    while True:
-        found = cut(components(links), "minhash-components")
-        ids = open_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mine = F.max(F.when(F.col("id") == F.col("centre"), F.col("component"))).over(Window.partitionBy("bucket"))
-        ids = ids.join(ids.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket"), "bucket", "left_semi")
-        ids = ids.withColumn("out", F.col("component") != F.coalesce(mine, F.lit(-(1 << 62))))
-        place = F.row_number().over(Window.partitionBy("bucket", "out").orderBy("id"))
-        now = cut(ids.withColumn("pivot", F.col("out") & (place <= PIVOTS)), "minhash-round")
-        p = now.where("pivot").select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("id", "n", "far", "component")))
-        apart = (
-            (F.col("bucket") == F.col("b2")) & (F.col("id") != F.col("p_id")) & (F.col("component") != F.col("p_component"))
-            & (100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & (F.abs(F.col("far") - F.col("p_far")) <= 1 - PERCENT / 100 + 1e-9)
-        )
-        pairs = now.join(p.withColumnRenamed("bucket", "b2"), apart).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        for s in seen:
-            pairs = pairs.join(s.select("a", "b"), ["a", "b"], "left_anti")
-        done = _compare(pairs, texts)
-        seen.append(done)
-        links = links.union(done.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = now.where("not pivot").select("bucket", "id", "n", "centre", "far")
-        if now.where("out and not pivot").isEmpty():
-            return components(links)
-        open_ = cut(rest, "minhash-open")
+    found = cut(components(links), "minhash-components")
+    rows = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    parts = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("majors"), (F.sum("k") - F.max("k")).alias("minors")).where("minors > 0")
+    ids = rows.join(parts, "bucket").withColumns({"minor": F.col("component") != F.col("major"), "nb": F.ceil(F.col("minors") / BLOCK), "mb": F.ceil(F.col("majors") / BLOCK)})
+    h = F.xxhash64("id")
+    # part (i, j) holds the blocks i and j of the others, part (i, nb + j) block i of the others and block j of the largest
+    mine, theirs = F.pmod(h, F.col("nb")), F.pmod(h, F.col("mb"))
+    place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    among = F.transform(F.sequence(F.lit(0), F.col("nb") + F.col("mb") - 1), lambda j: F.when(j >= mine, place(mine, j, F.when(j == mine, 0).otherwise(1))).otherwise(place(j, mine, F.lit(2))))
+    across = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: place(i, F.col("nb") + theirs, F.lit(2)))
+    ids = ids.join(sketches, "id").select("bucket", "id", "n", "component", "sketch", F.explode(F.when(F.col("minor"), among).otherwise(across)).alias("p"))
+    pairs = ids.select("bucket", "p.i", "p.j", "p.side", "id", "n", "component", "sketch").groupBy("bucket", "i", "j").applyInArrow(lambda t: _likely(t), "a long, b long").distinct()
+    more = _compare(cut(pairs, "minhash-likely"), texts)
+    return components(links.union(more.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
