@@ -8,8 +8,8 @@ Documents with equal sets are one class, represented by the smallest doc_id, so
 no pairs are listed. First every class is compared with the bucket's smallest (a star); links give components. Only buckets
 that still hold two components go on, and of those only pairs across components matter. Tasks that hold a part of a bucket
 (at most BLOCK classes of its largest component, and BLOCK others) compare sizes and SKETCH coordinates of the signatures
-in memory and let out pairs of which half the coordinates agree; a pair of similarity 0.75 fails that with probability
-1e-9. Those pairs are confirmed on full sets. Links inside a component are not looked for: they change no component.
+in memory and let out pairs of which AGREE coordinates agree; a pair of similarity 0.75 fails that with probability
+3e-6. Those pairs are confirmed on full sets. Links inside a component are not looked for: they change no component.
 
 Words are ASCII-lowered and split at ASCII white space. Null and empty texts have an empty set and link with nothing. Rows
 with null doc_id link with nothing and have a null component. Repeated rows link with each other by their equal sets; rows
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, components, cut, lower_words, mix64, tidy
 
-WIDTH, ROWS, BANDS, SKETCH, BLOCK, PERCENT = 5, 6, 64, 128, 2048, 75
+WIDTH, ROWS, BANDS, SKETCH, AGREE, BLOCK, PERCENT = 5, 6, 64, 384, 250, 2048, 75
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _words = WordHash()
 
@@ -88,7 +88,7 @@ def _likely(t: pa.Table) -> pa.Table:
     out = []
     for i in left:
         near = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        near = near[(sk[near] == sk[i]).sum(1) * 2 >= SKETCH]
+        near = near[(sk[near] == sk[i]).sum(1) >= AGREE]
         out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
     a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -133,7 +133,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     members = cut(rows.where("m > 1").drop("m"), "minhash-buckets")
     sketches = cut(reps.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
     tidy(spark)
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(sketches.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
     tidy(spark)
     star = _compare(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts)
     links = star.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
