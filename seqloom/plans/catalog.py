@@ -263,12 +263,12 @@ def _scored(spark, d) -> DataFrame:
     return disorder.scores(seqs(spark, d), matrix(spark), histogram(spark))
 
 
-@query(ENERGY + " select idx, pos::int as pos, aa, round(energy, 9) as energy from energy")
+@query(ENERGY + " select idx, pos::int as pos, aa, round(energy, 9) + 0.0::double as energy from energy")
 def residue_context_energy(spark, d):
     return _round(disorder.context_energy(disorder.residues(seqs(spark, d)), matrix(spark), 100), "energy")
 
 
-@query(ENERGY + " select idx, pos::int as pos, aa, round(energy, 9) as energy, round(smooth, 9) as smooth from sm")
+@query(ENERGY + " select idx, pos::int as pos, aa, round(energy, 9) + 0.0::double as energy, round(smooth, 9) + 0.0::double as smooth from sm")
 def moving_average(spark, d):
     e = disorder.context_energy(disorder.residues(seqs(spark, d)), matrix(spark), 100)
     return _round(disorder.moving_average(e, "energy", 10, "smooth"), "energy", "smooth")
