@@ -130,5 +130,6 @@ def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are judged good, with their columns as they were."""
     f = features(docs, text)
-    model = learn(f.select(votes().alias("v")))
-    return f.where(~base_failed() & (posterior(model, votes()) >= 0.5)).select(docs.columns)
+    t = cut(f.select(*docs.columns, base_failed().alias("_q_failed"), votes().alias("_q_v")), "quality-docs")
+    p = posterior(learn(t.select(F.col("_q_v").alias("v"))), F.col("_q_v"))
+    return t.where(~F.col("_q_failed") & (p >= 0.5)).select(docs.columns)
