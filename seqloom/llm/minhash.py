@@ -83,12 +83,17 @@ def _likely(t: pa.Table) -> pa.Table:
     """Pairs across components of a part of a bucket whose sizes and sketches allow the similarity. side: 0 for both sides
     of the part, else 1 or 2."""
     ids, n, c, side = (t[x].to_numpy() for x in ("id", "n", "component", "side"))
+    band = t["band"][0].as_py()
     sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
     left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
     out = []
     for i in left:
         near = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        near = near[(sk[near] == sk[i]).sum(1) >= AGREE]
+        same = sk[near] == sk[i]
+        likely = same.sum(1) >= AGREE
+        # a pair meets in many buckets: that of its first common band lets it out
+        likely[likely] = same[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        near = near[likely]
         out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
     a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -129,7 +134,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, component) of the classes that are linked to another."""
     spark = docs.sparkSession
     by = Window.partitionBy("bucket")
-    rows = reps.select("id", F.explode("bands").alias("bucket")).withColumns({"m": F.count("*").over(by), "centre": F.min("id").over(by)})
+    rows = reps.select("id", F.posexplode("bands").alias("band", "bucket")).withColumns({"m": F.count("*").over(by), "centre": F.min("id").over(by)})
     members = cut(rows.where("m > 1").drop("m"), "minhash-buckets")
     sketches = cut(reps.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
     tidy(spark)
@@ -148,8 +153,8 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
     among = F.transform(F.sequence(F.lit(0), F.col("nb") + F.col("mb") - 1), lambda j: F.when(j >= mine, place(mine, j, F.when(j == mine, 0).otherwise(1))).otherwise(place(j, mine, F.lit(2))))
     across = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: place(i, F.col("nb") + theirs, F.lit(2)))
-    ids = ids.join(sketches, "id").select("bucket", "id", "n", "component", "sketch", F.explode(F.when(F.col("minor"), among).otherwise(across)).alias("p"))
-    pairs = ids.select("bucket", "p.i", "p.j", "p.side", "id", "n", "component", "sketch").groupBy("bucket", "i", "j").applyInArrow(lambda t: _likely(t), "a long, b long").distinct()
+    ids = ids.join(sketches, "id").select("bucket", "band", "id", "n", "component", "sketch", F.explode(F.when(F.col("minor"), among).otherwise(across)).alias("p"))
+    pairs = ids.select("bucket", "band", "p.i", "p.j", "p.side", "id", "n", "component", "sketch").groupBy("bucket", "i", "j").applyInArrow(lambda t: _likely(t), "a long, b long").distinct()
     more = _compare(cut(pairs, "minhash-likely"), texts)
     return components(links.union(more.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
