@@ -7,9 +7,10 @@ of similarity 0.75 shares no bucket with probability (1 - 0.75**ROWS)**BANDS, 4e
 Documents with equal sets are one class, represented by the smallest doc_id, so exact copies cost one row. Inside a bucket
 no pairs are listed. First every class is compared with the bucket's smallest (a star); links give components. Only buckets
 that still hold two components go on, and of those only pairs across components matter. Tasks that hold a part of a bucket
-(at most BLOCK classes of its largest component, and BLOCK others) compare sizes and SKETCH coordinates of the signatures
-in memory and let out pairs of which AGREE coordinates agree; a pair of similarity 0.75 fails that with probability
-3e-6. Those pairs are confirmed on full sets. Links inside a component are not looked for: they change no component.
+(at most BLOCK classes of its largest component, and BLOCK others) compare sizes and 4 bits of each of SKETCH coordinates
+in memory and let out pairs of which AGREE coordinates agree (EARLY_AGREE of the first EARLY, to begin with); a pair of
+similarity 0.75 fails that with probability 5e-6. A pair leaves by its first common band only, which is told by 32 bits of
+the buckets. Those pairs are confirmed on full sets. Links inside a component are not looked for: they change no component.
 
 Words are ASCII-lowered and split at ASCII white space. Null and empty texts have an empty set and link with nothing. Rows
 with null doc_id link with nothing and have a null component. Repeated rows link with each other by their equal sets; rows
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, components, cut, lower_words, mix64, tidy
 
-WIDTH, ROWS, BANDS, SKETCH, AGREE, BLOCK, PERCENT = 5, 6, 64, 384, 250, 2048, 75
+WIDTH, ROWS, BANDS, BLOCK, PERCENT = 5, 6, 64, 2048, 75
+# at 0.75, coordinates agree in 4 bits with probability 0.7656; both bounds lie 4.5 standard deviations below that
+SKETCH, AGREE, EARLY, EARLY_AGREE = 1024, 723, 256, 165
+_ALIKE = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)  # of two coordinates, by their xor
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _words = WordHash()
 
@@ -62,21 +66,32 @@ def signature(s: np.ndarray, size: int = ROWS * BANDS) -> np.ndarray:
 
 
 def _bands(low: np.ndarray) -> list[int]:
-    rows = np.ascontiguousarray(low.reshape(BANDS, ROWS))
+    rows = np.ascontiguousarray(low[: BANDS * ROWS].reshape(BANDS, ROWS))
     return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(rows)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, digests, bands, sketches = [], [], [], []
+        sizes, digests, bands = [], [], []
         for t in b.column(1).cast(pa.binary()):
             s = shingles(t.as_py())
-            low = signature(s) if len(s) else None
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            bands.append(_bands(low) if len(s) else None)
-            sketches.append((low[:SKETCH] >> np.uint32(8)).astype(np.uint8).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            bands.append(_bands(signature(s)) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """4 bits of SKETCH coordinates, two to a byte, then 32 bits of each bucket."""
+    low = signature(s, SKETCH)
+    bits = (low >> np.uint32(8)).astype(np.uint8) & np.uint8(15)
+    return (bits[0::2] | bits[1::2] << np.uint8(4)).tobytes() + np.array(_bands(low), np.int64).astype(np.uint32).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "n", "sketch"])
 
 
 def _likely(t: pa.Table) -> pa.Table:
@@ -84,16 +99,17 @@ def _likely(t: pa.Table) -> pa.Table:
     of the part, else 1 or 2."""
     ids, n, c, side = (t[x].to_numpy() for x in ("id", "n", "component", "side"))
     band = t["band"][0].as_py()
-    sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    raw = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    bits, early = np.ascontiguousarray(raw[:, : SKETCH // 2]), np.ascontiguousarray(raw[:, : EARLY // 2])
+    before = np.ascontiguousarray(raw[:, SKETCH // 2 : SKETCH // 2 + 4 * band]).view(np.uint32)
     left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
     out = []
     for i in left:
         near = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        same = sk[near] == sk[i]
-        likely = same.sum(1) >= AGREE
+        near = near[_ALIKE[early[near] ^ early[i]].sum(1, dtype=np.int32) >= EARLY_AGREE]
         # a pair meets in many buckets: that of its first common band lets it out
-        likely[likely] = same[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-        near = near[likely]
+        near = near[~(before[near] == before[i]).any(1)]
+        near = near[_ALIKE[bits[near] ^ bits[i]].sum(1, dtype=np.int32) >= AGREE]
         out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
     a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -124,10 +140,10 @@ _linked = f"100 * common >= {PERCENT} * total and total > 0"
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document: doc_id, n_shingles, digest; per class of equal sets with a doc_id: id, n, bands, sketch."""
-    scanned = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash-scan")
+    """Per document: doc_id, n_shingles, digest; per class of equal sets with a doc_id: id, bands."""
+    scanned = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash-scan")
     known = scanned.where("digest is not null and doc_id is not null")
-    return scanned, known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return scanned, known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
 
 
 def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -136,9 +152,8 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     by = Window.partitionBy("bucket")
     rows = reps.select("id", F.posexplode("bands").alias("band", "bucket")).withColumns({"m": F.count("*").over(by), "centre": F.min("id").over(by)})
     members = cut(rows.where("m > 1").drop("m"), "minhash-buckets")
-    sketches = cut(reps.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
     tidy(spark)
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(sketches.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
     tidy(spark)
     star = _compare(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts)
     links = star.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -146,7 +161,9 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     rows = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     parts = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("majors"), (F.sum("k") - F.max("k")).alias("minors")).where("minors > 0")
-    ids = rows.join(parts, "bucket").withColumns({"minor": F.col("component") != F.col("major"), "nb": F.ceil(F.col("minors") / BLOCK), "mb": F.ceil(F.col("majors") / BLOCK)})
+    ids = cut(rows.join(parts, "bucket").select("bucket", "band", "id", "component", (F.col("component") != F.col("major")).alias("minor"), F.ceil(F.col("minors") / BLOCK).alias("nb"), F.ceil(F.col("majors") / BLOCK).alias("mb")), "minhash-open")
+    open_texts = texts.join(ids.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sketches = cut(open_texts.select("doc_id", "text").mapInArrow(_sketches, "id long, n long, sketch binary"), "minhash-sketches")
     h = F.xxhash64("id")
     # part (i, j) holds the blocks i and j of the others, part (i, nb + j) block i of the others and block j of the largest
     mine, theirs = F.pmod(h, F.col("nb")), F.pmod(h, F.col("mb"))
@@ -154,7 +171,9 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     among = F.transform(F.sequence(F.lit(0), F.col("nb") + F.col("mb") - 1), lambda j: F.when(j >= mine, place(mine, j, F.when(j == mine, 0).otherwise(1))).otherwise(place(j, mine, F.lit(2))))
     across = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: place(i, F.col("nb") + theirs, F.lit(2)))
     ids = ids.join(sketches, "id").select("bucket", "band", "id", "n", "component", "sketch", F.explode(F.when(F.col("minor"), among).otherwise(across)).alias("p"))
-    pairs = ids.select("bucket", "band", "p.i", "p.j", "p.side", "id", "n", "component", "sketch").groupBy("bucket", "i", "j").applyInArrow(lambda t: _likely(t), "a long, b long").distinct()
+    # small but slow to compare: a stated number of partitions keeps adaptive execution from merging them into one task
+    parted = ids.select("bucket", "band", "p.i", "p.j", "p.side", "id", "n", "component", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
+    pairs = parted.groupBy("bucket", "i", "j").applyInArrow(lambda t: _likely(t), "a long, b long").distinct()
     more = _compare(cut(pairs, "minhash-likely"), texts)
     return components(links.union(more.where(_linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 

@@ -332,3 +332,21 @@ def test_pipeline_stages(spark, tmp_path):
         assert set(docs.columns) == {c.split()[0] for c in PLAIN.split(", ")}, name
     assert docs.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_minhash_pair_leaves_by_one_bucket():
+    """A pair over the threshold leaves by exactly one of the buckets that it shares, also where sketches agree by chance."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    left_out = 0
+    for _ in range(150):
+        x = r.integers(0, 1 << 63, 240, np.uint64)
+        a, b = np.unique(x[:224]), np.unique(x[16:])  # similarity 0.87
+        bands = [minhash._bands(minhash.signature(s)) for s in (a, b)]
+        shared = [k for k in range(minhash.BANDS) if bands[0][k] == bands[1][k]]
+        t = {"id": [1, 2], "n": [len(a), len(b)], "component": [1, 2], "side": [0, 0], "sketch": [minhash.sketch(a), minhash.sketch(b)]}
+        got = [minhash._likely(pa.table(t | {"band": [k, k]})).to_pylist() for k in shared]
+        assert [g for g in got if g] == ([[{"a": 1, "b": 2}]] if shared else [])
+        left_out += not shared
+    assert not left_out
