@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,10 +296,12 @@ def strip(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def left(body, spans):
-        return body.combine(spans, lambda x, s: rest(bytes(x), merged([] if s is None else list(s))).decode("utf-8", "ignore"))
+        return pd.Series([None if s is None else rest(bytes(x), merged(list(s))).decode("utf-8", "ignore") for x, s in zip(body, spans)], dtype=object)
 
     j = _joined(docs)
-    j = j.withColumn("text", F.when(F.col("_spans").isNotNull(), left("_body", "_spans")).otherwise(F.col("text")))
+    # the bytes are made after the join, of documents with repeats only: the shuffle carries the text once
+    body = F.when(F.col("_spans").isNotNull(), F.encode("text", "UTF-8"))
+    j = j.withColumn("text", F.when(F.col("_spans").isNotNull(), left(body, "_spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return j.select(docs.columns)
