@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space splits words; every other byte belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
+EDGES_A_FILE, LEAST_FILES = 200_000, 16
 _MINE: list[tuple[SparkSession, str]] = []
 
 
@@ -138,9 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes; each round ends in the shared folder.
     Groups are only aggregated (min), never collected, so a hub costs a partial aggregate and a join that can be split.
+    The number of edges never grows; a round writes one file per EDGES_A_FILE of them (at least LEAST_FILES), not one per
+    shuffle partition, which for the few edges of late rounds would be mostly empty files.
     """
-    spark = edges.sparkSession
     star = cut(edges.where("u is not null and v is not null and u <> v").mapInArrow(_forest, "u long, v long"), "cc")
+    files = max(LEAST_FILES, -(-star.count() // EDGES_A_FILE))
     seen = None
     while True:
         both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -149,10 +152,10 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small, "cc")
+        new = cut(small.coalesce(files), "cc")
         now = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         drop(star)
-        star = new
+        star, files = new, max(LEAST_FILES, -(-now[0] // EDGES_A_FILE))
         if now == seen:
             break
         seen = now
