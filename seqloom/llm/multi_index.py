@@ -2,8 +2,10 @@
 
 Two codebooks, learnt apart on the two halves of unit vectors, make a product grid of cells. Every vector lies in one cell;
 as a query it visits cells in order of the sum of its two squared half distances (multi-sequence traversal). How many it
-visits is set on a sample: enough that TARGET of the sample's links are met, doubled for safety. Candidates are verified by
-cosine in double precision. The codebooks and the number of visits come from at most SAMPLE vectors; every vector is indexed.
+visits is measured: at most SAMPLE vectors are compared with ALL vectors, and the visits are enough that TARGET of these links
+are met by either side, doubled for safety, up to all cells. Where a table larger than the sample shows under MEASURED links,
+invented partners at the threshold are measured too. Candidates are verified by cosine in double precision. The codebooks come
+from the sample; every vector is indexed.
 
 Vectors with equal components are one class with a count. A cell's members and visitors meet in blocks of bounded size, in
 which one matrix product gives each vector's number of links and a spanning forest of the links; pairs are never listed.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 COSINE, SAMPLE, TARGET, MEMBERS, VISITORS = 0.9, 20_000, 0.9999, 1024, 4096
+MEASURED, RANKS_A_BATCH, ROWS_A_BATCH = 1000, 500, 8192
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,43 +62,104 @@ def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
         n = np.bincount(a, minlength=len(c))
         for j in np.flatnonzero(n):
             c[j] = x[a == j].mean(0)
-    return c
+    return np.unique(c, axis=0)
+
+
+def _steps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances in whole steps, the same bits for a pair whatever is computed beside it; their sums are exact."""
+    return (((x - c) ** 2).sum(-1) * 2.0**40).astype(np.int64)
 
 
 class Index:
     """The codebooks of one vector length and the number of cells that a query visits."""
 
-    def __init__(self, sample: np.ndarray, n: int, target: float = TARGET, seed: int = 5):
+    def __init__(self, sample: np.ndarray, n: int, seed: int = 5):
         self.half = sample.shape[1] // 2 or 1
         k = int(max(1, min(256, np.sqrt(n / 8), len(sample))))
         self.books = [codebook(sample[:, : self.half], k, seed), codebook(sample[:, self.half :], k, seed + 1)]
-        self.visits = 8
-        at = {i: r for i, r in enumerate(self._ranked(sample, 64))}
-        home = self.cells(sample)[:, 0]
-        ranks: list[int] = []
-        q = np.random.default_rng(seed).permutation(len(sample))[:2000]
-        for lo in range(0, len(q), 200):
-            for i, row in zip(q[lo : lo + 200], sample[q[lo : lo + 200]] @ sample.T >= COSINE):
-                place = {c: r for r, c in enumerate(at[i])}
-                ranks += [place.get(c, 64) for c in home[np.flatnonzero(row)] if c != home[i]] or [0]
-        self.visits = int(min(64, max(4, 2 * (np.quantile(ranks, target, method="higher") + 1)))) if ranks else 8
-
-    def _ranked(self, x: np.ndarray, m: int) -> np.ndarray:
-        """The m nearest cells of each vector, nearest first. The m nearest lie among pairs of ranks (i, j), i * j <= m."""
-        d = [_nearest(x[:, : self.half], self.books[0]), _nearest(x[:, self.half :], self.books[1])]
+        self.visits = 4
+
+    def _halves(self, x: np.ndarray) -> list[np.ndarray]:
+        parts = (x[:, None, : self.half], x[:, None, self.half :])
+        return [np.concatenate([_steps(p[i : i + 100], c) for i in range(0, len(x), 100)]) for p, c in zip(parts, self.books)]
+
+    def far(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The sum of the two distances of each vector to one cell."""
+        a, b = np.divmod(cell, len(self.books[1]))
+        return _steps(x[:, : self.half], self.books[0][a]) + _steps(x[:, self.half :], self.books[1][b])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        d = self._halves(x)
+        return d[0].argmin(1) * len(self.books[1]) + d[1].argmin(1)
+
+    def ranks(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells each vector visits before the given one."""
+        d = self._halves(x)
+        second = np.sort(d[1], axis=1)
+        return np.array([np.searchsorted(s, f - r).sum() for s, f, r in zip(second, self.far(x, cell), d[0])], np.int64)
+
+    def settle(self, ranks: np.ndarray, weights: np.ndarray, target: float = TARGET) -> None:
+        """Set the visits from ranks of partners and how many links each stands for."""
+        if len(ranks):
+            o = np.argsort(ranks)
+            at = np.searchsorted(np.cumsum(weights[o]), target * weights.sum())
+            self.visits = 2 * (int(ranks[o][min(at, len(o) - 1)]) + 1)
+        self.visits = min(max(4, self.visits), len(self.books[0]) * len(self.books[1]))
+
+    def invented(self, sample: np.ndarray, count: int = 20_000, seed: int = 6) -> np.ndarray:
+        """Ranks of partners at the threshold in random directions."""
+        r = np.random.default_rng(seed)
+        if sample.shape[1] < 2:
+            return np.zeros(0, np.int64)
+        out = []
+        for _ in range(0, count, 1000):
+            x = sample[r.integers(len(sample), size=1000)]
+            u = r.normal(size=x.shape)
+            u -= (u * x).sum(1, keepdims=True) * x
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            y = COSINE * x + np.sqrt(1 - COSINE**2) * u
+            out.append(np.minimum(self.ranks(x, self.home(y)), self.ranks(y, self.home(x))))
+        return np.concatenate(out)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells to visit, by distance and number, and the distances. The first is the vector's own.
+
+        The m first lie among pairs of ranks (i, j), i * j <= m."""
+        m, width = self.visits, len(self.books[1])
+        d = self._halves(x)
         k = [min(m, y.shape[1]) for y in d]
         o = [np.argsort(y, axis=1, kind="stable")[:, :w] for y, w in zip(d, k)]
         s = [np.take_along_axis(y, w, 1) for y, w in zip(d, o)]
-        i, j = np.divmod(np.arange(k[0] * k[1]), k[1])
-        good = (i + 1) * (j + 1) <= m
-        i, j = i[good], j[good]
-        first = np.argsort(s[0][:, i] + s[1][:, j], axis=1, kind="stable")[:, :m]
-        rows = np.arange(len(x))[:, None]
-        return o[0][rows, i[first]].astype(np.int64) * len(self.books[1]) + o[1][rows, j[first]]
+        i = np.repeat(np.arange(k[0]), np.minimum(k[1], m // np.arange(1, k[0] + 1)))
+        j = np.concatenate([np.arange(min(k[1], m // (a + 1))) for a in range(k[0])])
+        total, cell = s[0][:, i] + s[1][:, j], o[0][:, i] * width + o[1][:, j]
+        first = np.lexsort((cell, total), axis=1)[:, :m]
+        return np.take_along_axis(cell, first, 1), np.take_along_axis(total, first, 1)
+
+
+def _links_of(index: Index, ids: np.ndarray, queries: np.ndarray):
+    """Ranks at which sampled links between queries and all vectors are met by either side, and how many links each stands for."""
+    small = queries.astype(np.float32)
+    homes = index.home(queries)
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """Cells to visit; the first is the vector's own."""
-        return np.concatenate([self._ranked(x[i : i + 500], self.visits) for i in range(0, len(x), 500)]) if len(x) else np.zeros((0, self.visits), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy()
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(len(own), -1)
+            x32 = x.astype(np.float32)
+            found = [np.stack(np.nonzero(x32 @ small[lo : lo + 2000].T >= COSINE)) + [[0], [lo]] for lo in range(0, len(small), 2000)]
+            i, q = np.concatenate(found, axis=1)
+            other = own[i] != ids[q]
+            i, q = i[other], q[other]
+            if not len(i):
+                continue
+            at = np.random.default_rng([len(i), int(own[0]) & 0xFFFFFFFF]).permutation(len(i))[:RANKS_A_BATCH]
+            weight = len(i) / len(at)
+            i, q = i[at], q[at]
+            rank = np.minimum(index.ranks(queries[q], index.home(x[i])), index.ranks(x[i], homes[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.full(len(rank), weight))], ["rank", "weight"])
+
+    return run
 
 
 def _visit(indexes: dict[int, Index]):
@@ -103,16 +167,19 @@ def _visit(indexes: dict[int, Index]):
         for b in batches:
             dims = b.column(3).to_numpy()
             for d in np.unique(dims):
-                part = b.filter(pa.array(dims == d))
-                x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(-1, d)
-                cells = indexes[int(d)].cells(x)
-                t = cells.shape[1]
-                row = np.repeat(np.arange(len(x)), t + 1)
-                cell = np.concatenate([cells[:, :1], cells], axis=1).ravel()
-                asks = np.tile(np.arange(t + 1) > 0, len(x))
-                take = part.take(pa.array(row))
-                goes = pa.array(cells[row].tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(cell), pa.array(asks), take.column(0), take.column(1), take.column(2), goes], ["dim", "cell", "asks", "id", "copies", "unit", "goes"])
+                all_ = b.filter(pa.array(dims == d))
+                step = max(1, ROWS_A_BATCH // (indexes[int(d)].visits + 1))
+                for lo in range(0, len(all_), step):
+                    part = all_.slice(lo, step)
+                    x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(-1, d)
+                    cells, far = indexes[int(d)].cells(x)
+                    t = cells.shape[1]
+                    row = np.repeat(np.arange(len(x)), t + 1)
+                    cell = np.concatenate([cells[:, :1], cells], axis=1).ravel()
+                    asks = np.tile(np.arange(t + 1) > 0, len(x))
+                    take = part.take(pa.array(row))
+                    ends = [pa.array(v[row]) for v in (cells[:, 0], cells[:, -1], far[:, -1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(cell), pa.array(asks), take.column(0), take.column(1), take.column(2), *ends], ["dim", "cell", "asks", "id", "copies", "unit", "home", "last", "reach"])
 
     return run
 
@@ -120,12 +187,12 @@ def _visit(indexes: dict[int, Index]):
 _OUT = "id long, links long, u long, v long"
 
 
-def _meet(t: pa.Table) -> pa.Table:
+def _meet(t: pa.Table, indexes: dict[int, Index]) -> pa.Table:
     """Members and visitors of a cell: links of each, and a spanning forest of them."""
     asks = t["asks"].to_numpy()
     d = t["dim"][0].as_py()
     x = np.frombuffer(b"".join(t["unit"].to_pylist()), np.float64).reshape(-1, d)
-    ids, copies, goes = t["id"].to_numpy(), t["copies"].to_numpy(), np.array(t["goes"].to_pylist(), np.int64)
+    ids, copies, home, last, reach = (t[c].to_numpy() for c in ("id", "copies", "home", "last", "reach"))
     q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
     links: dict[int, int] = {}
     root: dict[int, int] = {}
@@ -143,7 +210,8 @@ def _meet(t: pa.Table) -> pa.Table:
         i, j = part[i], m[j]
         other = ids[i] != ids[j]
         i, j = i[other], j[other]
-        alone = ~(goes[j] == goes[i, :1]).any(1)  # the member does not come to the visitor's own cell
+        far = np.concatenate([indexes[d].far(x[j[k : k + 20_000]], home[i[k : k + 20_000]]) for k in range(0, len(j), 20_000)] or [np.zeros(0, np.int64)])
+        alone = (far > reach[j]) | ((far == reach[j]) & (home[i] > last[j]))  # the member does not come to the visitor's own cell
         for k, n in ((i, copies[j]), (j[alone], copies[i[alone]])):
             for a, c in zip(*_sums(ids[k], n)):
                 links[a] = links.get(a, 0) + c
@@ -170,18 +238,26 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     indexes = {}
     for d, n in sizes.items():
         of = reps.where(F.col("dim") == d)
-        got = of.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, SAMPLE / n))).select("unit").limit(int(1.1 * SAMPLE)).toArrow()["unit"].to_pylist()
-        if not got:
-            got = of.select("unit").limit(1).toArrow()["unit"].to_pylist()
-        indexes[d] = Index(np.frombuffer(b"".join(got), np.float64).reshape(-1, d), n)
-    rows = cut(reps.select("id", "copies", "unit", "dim").mapInArrow(_visit(indexes), "dim int, cell long, asks boolean, id long, copies long, unit binary, goes array<long>"), "imi-visits")
+        got = of.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, SAMPLE / n))).select("id", "unit").limit(int(1.1 * SAMPLE)).toArrow()
+        if not len(got):
+            got = of.select("id", "unit").limit(1).toArrow()
+        sample = np.frombuffer(b"".join(got["unit"].to_pylist()), np.float64).reshape(-1, d)
+        indexes[d] = Index(sample, n)
+        met = of.select("id", "unit").mapInArrow(_links_of(indexes[d], got["id"].to_numpy(), sample), "rank long, weight double").groupBy("rank").agg(F.sum("weight").alias("weight"))
+        met = met.toArrow()
+        ranks, weights = met["rank"].to_numpy(), met["weight"].to_numpy()
+        if len(sample) < n and weights.sum() < MEASURED:
+            more = indexes[d].invented(sample)
+            ranks, weights = np.concatenate([ranks, more]), np.concatenate([weights, np.ones(len(more))])
+        indexes[d].settle(ranks, weights)
+    rows = cut(reps.select("id", "copies", "unit", "dim").mapInArrow(_visit(indexes), "dim int, cell long, asks boolean, id long, copies long, unit binary, home long, last long, reach long"), "imi-visits")
     blocks = rows.groupBy(F.col("dim").alias("_d"), F.col("cell").alias("_c")).agg(F.ceil(F.sum((~F.col("asks")).cast("long")) / MEMBERS).alias("mb"), F.ceil(F.sum(F.col("asks").cast("long")) / VISITORS).alias("qb")).where("mb > 0 and qb > 0")
     both = rows.join(blocks, (F.col("dim") == F.col("_d")) & (F.col("cell") == F.col("_c")))
     h = F.xxhash64("id")
     # a member goes to one member block and all visitor blocks, a visitor to one visitor block and all member blocks
     span = lambda mine, n: F.when(mine, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array(F.pmod(h, F.col(n))))
     both = both.withColumn("_m", F.explode(span(F.col("asks"), "mb"))).withColumn("_q", F.explode(span(~F.col("asks"), "qb")))
-    found = cut(both.groupBy("dim", "cell", "_m", "_q").applyInArrow(lambda t: _meet(t), _OUT), "imi-links")
+    found = cut(both.groupBy("dim", "cell", "_m", "_q").applyInArrow(lambda t: _meet(t, indexes), _OUT), "imi-links")
     links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("_links"))
     group = components(found.where("u is not null").select("u", "v"))
     label = reps.join(links, "id", "left").join(group, "id", "left").select("digest", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "id").alias("_g"))

@@ -127,6 +127,36 @@ def test_vectors(spark, docs):
     assert multi_index.near_duplicates(t.where("false")).count() == 0
 
 
+def test_rare_links_beyond_the_sample(spark, monkeypatch):
+    """Pairs at the threshold, of which a sample has next to none with both ends."""
+    monkeypatch.setattr(multi_index, "SAMPLE", 300)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=(300, 16))
+    u -= (u * x[:300]).sum(1, keepdims=True) * x[:300]
+    x[300:600] = 0.905 * x[:300] + math.sqrt(1 - 0.905**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    t = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert links.sum() >= 600
+    got = {g.vec_id: g.n_links for g in multi_index.near_duplicates(t).collect()}
+    assert 0.999 * links.sum() <= sum(got.values()) <= links.sum()
+    assert all(got[i] <= n for i, n in enumerate(links.sum(1)))
+
+
+def test_visits_and_their_test_agree():
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(400, 6)))  # many equal distances
+    index = multi_index.Index(x, 4000)
+    index.visits = 37
+    cells, far = index.cells(x)
+    for cell in range(len(index.books[0]) * len(index.books[1])):
+        d = index.far(x, np.full(len(x), cell))
+        comes = (d < far[:, -1]) | ((d == far[:, -1]) & (cell <= cells[:, -1]))
+        assert (comes == (cells == cell).any(1)).all()
+
+
 def test_minhash(docs, empty):
     def shingles(t):
         w = (t or "").encode().lower().split()
