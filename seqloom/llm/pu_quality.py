@@ -21,9 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordHash, mix64
+
 SAMPLE, HIDDEN, EPOCHS, FOLDS, THRESHOLD = 20_000, 24, 40, 5, 0.3
 _SYMBOLS, _DIGITS, _UPPER, _ENDS, _SPACE = b"#*$%&<>|", b"0123456789", bytes(range(65, 91)), b".!?", b" \t\n\r\x0b\f"
 N_FEATURES = 16
+_words = WordHash()
+
+
+def distinct_grams(words: list[bytes]) -> int:
+    """Distinct runs of four words, by 64-bit hashes."""
+    h = _words.of(words)
+    g = h[:-3]
+    for k in range(1, 4):
+        g = mix64(g) + h[k : len(h) - 3 + k]
+    return len(np.unique(g))
 
 
 def describe(text: bytes | None) -> list[float]:
@@ -35,11 +47,11 @@ def describe(text: bytes | None) -> list[float]:
     letters = text.translate(None, _SPACE)
     lines = [x for x in text.split(b"\n") if x.strip()]
     pairs = n - sum(map(bytes.__eq__, w, w[1:]))
-    four = [b" ".join(w[i : i + 4]) for i in range(0, n - 3, 4)] if n < 40_000 else []
+    grams = max(0, n - 3)
     return [
         math.log1p(n), gone(letters, _SYMBOLS) * 10, math.sqrt(gone(letters, _SYMBOLS)), text.count(b"|") / max(1, n), math.sqrt(gone(letters, _UPPER)), gone(letters, _DIGITS), gone(letters, _ENDS) * 10,
         text.count(b"!!") / max(1, n), len(letters) / max(1, n) / 10, len(set(w)) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), len(lines) / max(1, n) * 10, 1 - pairs / max(1, n),
-        1 - len(set(four)) / max(1, len(four)), sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)), len(set(w)) / max(1.0, math.sqrt(n)) / 20 if size else 0.0,
+        1 - distinct_grams(w) / grams if grams else 0.0, sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)), len(set(w)) / max(1.0, math.sqrt(n)) / 20 if size else 0.0,
     ]
 
 

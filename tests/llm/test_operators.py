@@ -307,6 +307,15 @@ def test_pu_quality(spark, docs, empty):
     assert pu_quality.scores(empty, none).count() == 0
 
 
+def test_repeated_passages_of_any_length_and_place():
+    at = 13
+    assert pu_quality.describe(" ".join(map(str, range(50_000))).encode())[at] == 0
+    assert pu_quality.describe(b"one two")[at] == pu_quality.describe(b"")[at] == 0
+    once = [str(i) for i in range(50)]
+    assert pu_quality.describe(" ".join([*once, "x", *once]).encode())[at] == pytest.approx(47 / 98)
+    assert pu_quality.describe(b"a b c d " * 20_000)[at] > 0.99
+
+
 def test_mixing(docs, empty):
     rows = mixing.plan(docs).collect()
     assert len(rows) == docs.count()
