@@ -81,7 +81,8 @@ def votes(q: str = "_q_") -> Column:
         "shouting": vote(2 * c("n_upper") > c("word_chars")),
         "dup_lines": vote((10 * c("n_dup_lines") > 3 * c("n_lines")) & (c("n_lines") >= 4)),
         "repeats": vote((5 * c("n_repeat_words") > w) & (2 * c("n_distinct") < w)),
-        "variety": vote((w >= 30) & (c("n_distinct") * 8 < w) & (w < 2000)),
+        # from 2000 words on, where both bounds meet, the distinct words of a text grow with the root of its length
+        "variety": vote((w >= 30) & (c("n_distinct") * 8 < w) & (4 * c("n_distinct").cast("long") * c("n_distinct") < 125 * w)),
         "word_length": vote((c("word_chars") < 2 * w) | (c("word_chars") > 20 * w)),
         "prose": vote((w >= 60) & (c("n_ends") * 150 < w), (w >= 20) & (c("n_ends") * 40 >= w)),
     }

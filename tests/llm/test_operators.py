@@ -285,6 +285,15 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_variety_at_every_length(spark):
+    r = random.Random(5)
+    draw = lambda n, k: " ".join(f"w{r.randrange(k)}" + ("." if i % 10 == 9 else "") for i in range(n))
+    junk, fine = [draw(n, 60) for n in (1900, 2100, 8000, 30_000)], [draw(n, 3000) for n in (1900, 2100, 8000, 30_000)]
+    v = quality_rules.RULES.index("variety")
+    rows = sorted(quality_rules.judge(frame(spark, ["start", "start", "start", "start", *junk, *fine])).where("doc_id > 3").collect(), key=lambda x: x.doc_id)
+    assert [x.v[v] for x in rows] == [-1] * 4 + [0] * 4
+
+
 def test_rule_weights():
     k = len(quality_rules.RULES)
     vote = lambda *bad: tuple(-1 if j in bad else 0 for j in range(k))
