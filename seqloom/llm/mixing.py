@@ -7,8 +7,9 @@ interval of one source on the cumulative targets; its rank among that source's s
 shuffled, endlessly repeated stream that it takes. Every prefix of the mix is then near the target weights.
 
 Documents are shuffled by md5(seed:doc_id). Their places in the stream come from sums over 65,536 buckets of that hash and
-running sums inside a bucket, so that a source with a third of all rows is never in one task. The number of slots is
-bounded by SLOTS whatever the corpus; sources are a dimension of a few rows.
+running sums inside a bucket, so that a source with a third of all rows is never in one task. A block grows with the corpus
+(SLOTS) only as far as every source keeps a target of FEW blocks; slots are counted by source and need no order. Sources are
+a dimension of a few rows.
 
 Null and empty texts have size 0 and are not taken. Null doc_ids count as one id. Repeated rows are separate documents
 that follow one another. An empty table gives an empty result. Extra columns are kept by take() and ignored by plan().
@@ -25,6 +26,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
+FEW = 64
 GOLDEN = 0.6180339887498949
 SEED = "mix"
 
@@ -56,18 +58,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).select("source", "source_size", "weight", "target", "lo", "hi")
 
 
-def schedule(sources: DataFrame) -> tuple[DataFrame, int]:
-    """(source, rank) of every slot, and the words of a block."""
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+def schedule(sources: DataFrame) -> DataFrame:
+    """(_s, _words): what the slots of each source hold together. Its slots take the first blocks of its stream in order."""
+    total, least = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     block = max(LEAST_BLOCK, -(-total // SLOTS))
+    if least and block * FEW > least:
+        block = max(LEAST_BLOCK, int(least // FEW))
     n = round(total / block)
     cells = 1024
     x = (F.col("id") + 0.5) * GOLDEN
     points = sources.sparkSession.range(n).withColumn("x", x - F.floor(x)).withColumn("cell", F.floor(F.col("x") * cells))
     spans = sources.where("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))).alias("cell"))
     # the last interval ends at 1, or an ulp beside it
-    slots = points.join(spans, "cell").where("x >= lo and x < hi").select("source", "id")
-    return slots.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).cast("long").alias("rank")), block
+    slots = points.join(F.broadcast(spans), "cell").where("x >= lo and x < hi")
+    return cut(slots.groupBy(F.col("source").alias("_s")).agg((F.count("*") * block).alias("_words")), "mix-slots")
 
 
 def placed(d: DataFrame) -> DataFrame:
@@ -84,18 +88,12 @@ def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs."""
     d = cut(sized(docs).select("doc_id", "source", "_size", "_h", "_b"), "mix")
     sources = cut(targets(d), "mix-sources")
-    slots, block = schedule(sources)
-    p = placed(d).join(sources.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rounds = F.least(F.lit(REPEATS), F.ceil(F.col("target") / F.col("source_size") + F.lit(0.5)))
-    first = F.col("_off") + F.col("_e") * F.col("source_size")
-    part = p.where("_size > 0").withColumn("_e", F.explode(F.sequence(F.lit(0), (rounds - 1).cast("int")))).withColumn("_at", first)
-    last = F.col("_at") + F.col("_size")
-    part = part.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((last - 1) / block))))
-    got = part.join(slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")))
-    words = F.least(last, (F.col("rank") + 1) * block) - F.greatest(F.col("_at"), F.col("rank") * block)
-    got = got.groupBy(F.col("source").alias("_s"), F.col("_off").alias("_o")).agg(F.sum(words).alias("_taken"))
-    out = p.join(got, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_off") == F.col("_o")) & (F.col("_size") > 0), "left")
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    n = F.broadcast(schedule(sources))
+    p = placed(d).join(sources.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t")))
+    p = p.join(n, F.col("source").eqNullSafe(F.col("_s")), "left")
+    left = lambda e: F.coalesce("_words", F.lit(0)) - F.col("_off") - F.lit(e) * F.col("source_size")
+    taken = sum(F.greatest(F.lit(0), F.least(F.col("_size"), left(e))) for e in range(REPEATS))
+    return p.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
@@ -105,9 +103,8 @@ def take(docs: DataFrame) -> DataFrame:
     first n blocks are taken."""
     d = sized(docs)
     sources = cut(targets(d.select("source", "_size")), "mix-sources")
-    slots, block = schedule(sources)
-    n = slots.groupBy(F.col("source").alias("_s")).agg((F.count("*") * block).alias("_words"))
-    n = cut(n.join(sources.select("source", "source_size"), F.col("_s").eqNullSafe(F.col("source"))).drop("source"), "mix-slots")
+    sizes = sources.select(F.col("source").alias("_t"), "source_size")
+    n = F.broadcast(cut(schedule(sources).join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"), "mix-words"))
     p = placed(d).where("_size > 0").join(n, F.col("source").eqNullSafe(F.col("_s")))
     middle = F.col("_off") + F.floor(F.col("_size") / 2)
     times = sum(((middle + F.lit(e) * F.col("source_size")) < F.col("_words")).cast("int") for e in range(REPEATS))

@@ -340,6 +340,16 @@ def test_mixing(docs, empty):
     assert mixing.plan(empty).count() == 0
 
 
+def test_mixing_keeps_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rows = [(i, prose(1000), "a") for i in range(60)] + [(100, prose(30), "b"), (101, prose(120), "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(d).collect()
+    for size, target in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.taken for r in got if r.source_size == size) - target) <= 4 * mixing.LEAST_BLOCK
+    assert {100, 101} <= {r.doc_id for r in mixing.take(d).collect()}
+
+
 def test_extract(spark):
     page = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy this</div><article><h1>A &amp; B</h1><p>First  text\nhere, long enough to be prose.<p>Second one is here too, as long as the first.</article><footer>&copy; x</footer></body></html>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "plain words"), (5, "u", "<<<p class=\"x> <b"), (1, "u", page)]
