@@ -92,6 +92,16 @@ def test_language_model(docs, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_contexts_are_whole_words(spark):
+    """Words with one ending are contexts of their own: what follows each is nearly certain."""
+    words = ["walking", "talking", "king", "looking"]
+    w, c = pitman_yor.tokens(" ".join(f"{x} then" for x in words).encode())
+    assert len(set(c.tolist())) == len(words) + 2 and c[0] == 0 and (c[1:] == w[:-1]).all()
+    rows = [(i, " ".join(f"{a} next{k}" for k, a in enumerate(words)), "x") for i in range(400)]
+    got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(g.score / g.n_tokens > -0.05 for g in got)
+
+
 def test_seating_is_bounded_by_customers():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000])
