@@ -346,7 +346,7 @@ def _walk(seq: str, seed: int):
     """A stand-in for a structure model: a seeded walk, one point per residue."""
     import numpy as np
 
-    steps = np.random.default_rng([len(seq), sum(map(ord, seq))]).normal(size=(min(len(seq), 400), 3))
+    steps = np.random.default_rng([len(seq), sum(map(ord, seq))]).normal(size=(len(seq), 3))
     return steps.cumsum(0) + np.random.default_rng(seed).normal(scale=0.5 + len(seq) % 3, size=steps.shape)
 
 

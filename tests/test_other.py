@@ -132,3 +132,9 @@ def test_stream_resumes(spark, tmp_path):
         follow(spark, str(tmp_path / "in"), "id long", str(tmp_path / "cp"), lambda b, i: got.append(b.count())).awaitTermination()
     assert sum(got) == 3
     assert SCHEMA
+
+
+def test_walk_has_a_point_per_residue():
+    from seqloom.plans import catalog
+
+    assert catalog._walk("ab" * 500, 1).shape == (1000, 3)
