@@ -1,8 +1,9 @@
 """Main text of web pages: boosted trees score DOM nodes, a tree dynamic programme decodes them.
 
-A page is parsed into its block nodes (text of inline elements counts to the block around them). The trees see the node's
-tag, the words of its class, id and role, its depth, place among its siblings and in the page, and the text, link, sentence
-and tag density of its subtree, also of its parent. They are trained on pages that pages_to_learn() invents, whose
+A page is parsed in linear time into its block nodes (text of inline elements counts to the block around them). The trees see
+the node's tag, what the words of its class, id and role weigh (the log odds of each word, learnt with the trees; unknown words
+weigh nothing), also those around it, its depth, place among its siblings and in the page, and the text, link, sentence and
+tag density of its subtree, also of its parent. They are trained on pages that pages_to_learn() invents, whose
 boilerplate is known; no table is needed. Decoding takes the labelling of greatest total score in which nothing inside a
 dropped node is kept.
 
@@ -15,9 +16,11 @@ tags is one block.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,130 +29,156 @@ from pyspark.sql import functions as F
 
 from .gbt import Trees
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea".split()}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*+>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr picture source input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
+LISTS = ["ul", "ol", "dl", "table", "menu"]
+BAD = -2.0
 TAGS = ("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form button select fieldset option", "article", "main", "section", "div", "table tr td th tbody thead", "figure figcaption", "blockquote pre", "head title")
-GROUPS = (
-    "article main content post entry story body text page",
-    "nav menu navbar navigation breadcrumb breadcrumbs pagination pager toc",
-    "ad ads advert adverts advertisement sponsor sponsored promo banner",
-    "cookie cookies consent notice alert gdpr popup modal overlay message",
-    "comment comments discussion disqus reply replies respond thread",
-    "share social follow subscribe newsletter signup login search form",
-    "header masthead topbar logo site branding",
-    "footer copyright legal colophon bottom",
-    "sidebar side aside rail widget related recommended more popular",
-)
 _TAG = {t: i for i, g in enumerate(TAGS) for t in g.split()}
-_GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "groups", "near", "inside", "place", "links", "chars", "kids", "ends", "first", "order", "tags", "total", "linked", "stops", "blocks")
-
-    def __init__(self, tag: str, parent: int, depth: int, groups: int, near: int, first: int, order: int):
-        self.tag, self.parent, self.depth, self.groups, self.near, self.first, self.order = tag, parent, depth, groups, near, first, order
-        self.inside = 0
-        self.kids = self.links = self.chars = self.ends = self.tags = self.place = self.blocks = 0
+    __slots__ = ("tag", "parent", "depth", "words", "inside", "links", "chars", "kids", "ends", "first", "order", "tags", "total", "linked", "stops", "blocks", "own", "near")
+
+    def __init__(self, tag: str, parent: int, depth: int, words: list[str], inside: int, first: int, order: int):
+        self.tag, self.parent, self.depth, self.words, self.inside, self.first, self.order = tag, parent, depth, words, inside, first, order
+        self.kids = self.links = self.chars = self.ends = self.tags = 0
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag name, closes, attributes) of each tag of a page; the last has no name. Comments, declarations and
+    elements whose content is no text are left out. Each character is looked at a bounded number of times: where nothing
+    closes a tag any more the rest is text, and once a tag's quotes never close, quotes do not count in the rest of the page."""
+    at, text, last, quotes = 0, [], page.rfind(">"), True
+    while (lt := page.find("<", at)) >= 0:
+        text.append(page[at:lt])
+        at = lt + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if lt > last:
+            text.append("<")
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            at = page.find(">", at) + 1
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            text.append("<")
+            continue
+        end = _QUOTED.match(page, m.end()) if quotes else None
+        quotes = end is not None
+        end = end.end() if end else page.find(">", m.end()) + 1
+        name, shut = m[1].lower(), page[at] == "/"
+        at = end
+        if name in _RAW and not shut:
+            close = _RAW[name].search(page, at)
+            at = close.end() if close else len(page)
+            continue
+        yield "".join(text), name, shut, page[m.end() : end - 1]
+        text.clear()
+    text.append(page[at:])
+    yield "".join(text), "", False, ""
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]], int]:
+def parse(page: str, weights: dict[str, float] | None = None) -> tuple[list[Node], list[tuple[int, str | None]], int]:
     """Block nodes in page order (node 0 is the root), the text pieces with their node, and the length of all text.
 
-    A piece of None, in place of a string, marks the edge of a block."""
-    nodes = [Node("root", -1, 0, 0, 0, 0, 0)]
+    A piece of None, in place of a string, marks the edge of a block. Inline elements are nodes only where an attribute word
+    of theirs weighs under BAD."""
+    weights = weights or {}
+    nodes = [Node("root", -1, 0, [], 0, 0, 0)]
     pieces: list[tuple[int, str | None]] = []
     stack: list[tuple[str, int]] = [("root", 0)]
-    at = chars = in_link = 0
-
-    def text(s: str) -> None:
-        nonlocal chars
-        k = stack[-1][1]
-        pieces.append((k, s))
-        n = len(s) - s.count(" ")
-        if n:
-            x = nodes[k]
-            x.chars += n
-            x.links += n if in_link else 0
-            x.ends += s.count(". ") + s.count(".") + s.count("!") + s.count("?")
-            chars += n
+    opened: dict[str, list[int]] = {}  # places on the stack by name
+    outer = [0]  # places of elements that are not inline
+    chars = in_link = 0
+    inner = lambda names: max((opened[n][-1] for n in names if opened.get(n)), default=-1)
 
     def pop(to: int) -> None:
         nonlocal in_link
         while len(stack) > to:
             t, k = stack.pop()
+            opened[t].pop()
+            if outer[-1] == len(stack):
+                outer.pop()
             if t == "a":
                 in_link = 0
             if k != stack[-1][1]:
                 pieces.append((stack[-1][1], None) if t not in INLINE else (stack[-1][1], ""))
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
+    for s, name, shut, rest in tokens(page):
+        if s:
+            k = stack[-1][1]
+            pieces.append((k, s))
+            n = len(s) - s.count(" ")
+            if n:
+                x = nodes[k]
+                x.chars += n
+                x.links += n if in_link else 0
+                x.ends += s.count(". ") + s.count(".") + s.count("!") + s.count("?")
+                chars += n
         if not name:
-            continue
-        name, shut, rest = name.lower(), m[2] or m[5], m[4] if m[3] else m[7]
+            break
         if shut:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened.get(name):
+                pop(opened[name][-1])
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        elif name in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME[name]:
-                    pop(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
-                    break
+            if stack[outer[-1]][0] == "p":
+                pop(outer[-1])
+        elif name in SAME and (to := inner(SAME[name])) > inner(LISTS):
+            pop(to)
         up = stack[-1][1]
         nodes[up].tags += 1
-        groups = 0
-        for a in _ATTR.finditer(rest) if rest and "=" in rest else ():
-            for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()):
-                if w in _GROUP:
-                    groups |= 1 << _GROUP[w]
-        if name in ("br", "hr") or name in VOID:
+        words: list[str] = []
+        for a in _ATTR.finditer(rest) if "=" in rest else ():
+            words += _WORD.findall((a[2] or a[3] or a[4] or "").lower())
+        if name in VOID:
             pieces.append((up, " " if name in INLINE else None))
             continue
         if name == "a":
             in_link = 1
-        if name in INLINE and not groups:
+        opened.setdefault(name, []).append(len(stack))
+        if name in INLINE and not any(weights.get(w, 0) < BAD for w in words):
             stack.append((name, up))
             continue
+        if name not in INLINE:
+            outer.append(len(stack))
         p = nodes[up]
         pieces.append((up, None if name not in INLINE else ""))
         p.kids += 1
-        x = Node(name, up, p.depth + 1, groups, p.near | groups, chars, p.kids)
-        x.inside = p.inside | 1 << _TAG[p.tag] if p.tag in _TAG else p.inside
-        nodes.append(x)
+        inside = p.inside | 1 << _TAG[p.tag] if p.tag in _TAG else p.inside
+        nodes.append(Node(name, up, p.depth + 1, words, inside, chars, p.kids))
         stack.append((name, len(nodes) - 1))
-    if at < len(page):
-        text(page[at:])
     return nodes, pieces, chars
 
 
-def features(nodes: list[Node], chars: int) -> np.ndarray:
+def weigh(pages: list[list[Node]], labels: list[list[bool]]) -> dict[str, float]:
+    """The log odds of kept for each attribute word of the pages to learn from."""
+    n: dict[str, list[int]] = {}
+    for nodes, label in zip(pages, labels):
+        for x, y in zip(nodes, label):
+            for w in set(x.words):
+                n.setdefault(w, [0, 0])[y] += 1
+    return {w: math.log((k + 1) / (d + 1)) for w, (d, k) in n.items()}
+
+
+def features(nodes: list[Node], chars: int, weights: dict[str, float]) -> np.ndarray:
     for x in nodes:
         x.total, x.linked, x.stops, x.blocks = x.chars, x.links, x.ends, 1
+        v = [weights.get(w, 0.0) for w in x.words]
+        x.own = (min(v, default=0.0), max(v, default=0.0))
+        a = nodes[x.parent].near if x.parent >= 0 else (0.0, 0.0)
+        x.near = (min(a[0], x.own[0]), max(a[1], x.own[1]))
     for i in range(len(nodes) - 1, 0, -1):
         x = nodes[i]
         p = nodes[x.parent]
@@ -161,11 +190,11 @@ def features(nodes: list[Node], chars: int) -> np.ndarray:
     rows = []
     for x in nodes:
         p = nodes[max(0, x.parent)]
-        t = _TAG.get(x.tag, -1)
+        t, u = _TAG.get(x.tag, -1), _TAG.get(p.tag, -1)
         row = [t == i for i in range(len(TAGS))]
-        row += [x.groups >> i & 1 for i in range(len(GROUPS))] + [p.near >> i & 1 for i in range(len(GROUPS))] + [x.inside >> i & 1 for i in range(len(TAGS))] + [p.tag in g.split() for g in TAGS]
+        row += [x.inside >> i & 1 for i in range(len(TAGS))] + [u == i for i in range(len(TAGS))]
         row += [
-            x.depth, x.kids, x.order, p.kids, x.order / max(1, p.kids), x.first / max(1, chars), x.total / max(1, chars), x.total, x.chars, x.linked / max(1, x.total),
+            *x.own, *p.own, *p.near, x.depth, x.kids, x.order, p.kids, x.order / max(1, p.kids), x.first / max(1, chars), x.total / max(1, chars), x.total, x.chars, x.linked / max(1, x.total),
             x.stops / max(1, x.total), x.total / x.blocks, x.tags / max(1, x.total), x.blocks, p.linked / max(1, p.total), p.total / max(1, chars), p.total / p.blocks,
         ]
         rows.append(row)
@@ -200,6 +229,20 @@ def text_of(pieces: list[tuple[int, str | None]], take: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
+#: What the classes and ids of the invented pages are called, by the part of the page; the trees see only what their words weigh.
+GROUPS = (
+    "article main content post entry story body text page",
+    "nav menu navbar navigation breadcrumb breadcrumbs pagination pager toc",
+    "ad ads advert adverts advertisement sponsor sponsored promo banner",
+    "cookie cookies consent notice alert gdpr popup modal overlay message",
+    "comment comments discussion disqus reply replies respond thread",
+    "share social follow subscribe newsletter signup login search form",
+    "header masthead topbar logo site branding",
+    "footer copyright legal colophon bottom",
+    "sidebar side aside rail widget related recommended more popular",
+)
+
+
 def pages_to_learn(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """Invented pages with the label of each block node, in page order."""
     r = random.Random(seed)
@@ -219,10 +262,14 @@ def pages_to_learn(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
             if close:
                 out.append(f"</{name}>")
 
+        def name() -> str:
+            """A name that says nothing."""
+            return "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 7)))
+
         def attr(*groups: int) -> str:
             if r.random() < 0.25:
                 return ""
-            w = r.choice(GROUPS[r.choice(groups)].split())
+            w = r.choice(GROUPS[r.choice(groups)].split()) if r.random() < 0.7 else name()
             return r.choice([f'class="{w}"', f'id="{w}"', f'class="{w} box"', f'class="{w}-block"', f'role="{w}"'])
 
         def links(keep: bool, k: int) -> None:
@@ -230,7 +277,7 @@ def pages_to_learn(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
 
         def nav(inner: bool = False) -> None:
             t = r.choice(["nav", "div", "ul", "nav"])
-            a = attr(1) if t == "nav" else f'class="{r.choice(GROUPS[1].split())}"'
+            a = attr(1) if t == "nav" or r.random() < 0.3 else f'class="{r.choice(GROUPS[1].split())}"'
             tag(t, a, False, lambda: links(False, r.randint(2, 9)) if t != "ul" else [tag("li", "", False, f'<a href="/">{words(1, 3, False)}</a>') for _ in range(r.randint(2, 8))])
 
         def ad() -> None:
@@ -290,7 +337,7 @@ def pages_to_learn(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
 
         def main() -> None:
             t = r.choice(["article", "article", "main", "div", "section"])
-            a = attr(0) if t in ("article", "main") else f'{r.choice(["class", "id"])}="{r.choice(GROUPS[0].split())}"' if r.random() < 0.75 else ""
+            a = attr(0) if t in ("article", "main") or r.random() < 0.3 else f'{r.choice(["class", "id"])}="{r.choice(GROUPS[0].split())}"' if r.random() < 0.75 else ""
             tag(t, a, True, body if r.random() < 0.8 else lambda: tag(r.choice(["div", "section"]), attr(0), True, body))
 
         def all_() -> None:
@@ -311,26 +358,35 @@ def pages_to_learn(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
     return [page() for _ in range(n)]
 
 
+class Model(NamedTuple):
+    """The weights of attribute words and the trees."""
+
+    weights: dict[str, float]
+    trees: Trees
+
+    def score(self, page: tuple) -> np.ndarray:
+        return self.trees.score(features(page[0], page[2], self.weights))
+
+
 _model: dict = {}
 
 
-def model(pages: int = 900, seed: int = 7) -> Trees:
+def model(pages: int = 900, seed: int = 7) -> Model:
+    """Learnt from invented pages; the same on every run."""
     if (pages, seed) not in _model:
-        xs, ys = [], []
-        for page, labels in pages_to_learn(pages, seed):
-            nodes, _, chars = parse(page)
-            if len(nodes) == len(labels):
-                xs.append(features(nodes, chars))
-                ys += labels
-        _model[pages, seed] = Trees(rounds=60, depth=4).fit(np.concatenate(xs), np.array(ys, float))
+        got = [(parse(page), labels) for page, labels in pages_to_learn(pages, seed)]
+        got = [(p, y) for p, y in got if len(p[0]) == len(y)]
+        weights = weigh([p[0] for p, _ in got], [y for _, y in got])
+        x = np.concatenate([features(p[0], p[2], weights) for p, _ in got])
+        _model[pages, seed] = Model(weights, Trees(rounds=60, depth=4).fit(x, np.concatenate([np.array(y, float) for _, y in got])))
     return _model[pages, seed]
 
 
-def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
-    parsed = [parse(p or "") for p in pages]
+def main_texts(pages: list[str | None], m: Model) -> list[str]:
+    parsed = [parse(p or "", m.weights) for p in pages]
     if not parsed:
         return []
-    score = trees.score(np.concatenate([features(n, c) for n, _, c in parsed]))
+    score = m.trees.score(np.concatenate([features(n, c, m.weights) for n, _, c in parsed]))
     out, at = [], 0
     for nodes, pieces, _ in parsed:
         out.append(text_of(pieces, decode(nodes, score[at : at + len(nodes)])))
@@ -338,15 +394,15 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
+def extract(pages: DataFrame, m: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    trees = trees or model()
+    m = m or model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(main_texts(part.column(2).to_pylist(), trees), pa.string())], ["page_id", "url", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(main_texts(part.column(2).to_pylist(), m), pa.string())], ["page_id", "url", "text"])
 
     out = pages.select("page_id", "url", "html").mapInArrow(run, pages.select("page_id", "url").schema.add("text", "string"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -30,7 +32,7 @@ def texts():
         near.append(" ".join(w))
     passage = prose(60)
     shared = [prose(40) + " " + passage + " " + prose(40) for _ in range(4)]
-    odd = [None, "", "one", "one", " \n\t", "Two Words", "é" * 500, "x" * 50_000, prose(6000), "the cat " * 300, "a\n" * 90, "#$% | " * 60, "\x1c odd\x0bspace"]
+    odd = [None, "", "one", "one", " \n\t", "Two Words", "é" * 500, "x" * 50_000, prose(6000), "the cat " * 300, "a\n" * 90, "#$% | " * 60, "\x1c odd\x0bspace", "a <|endoftext|> b<|endoftext|><|endoftext|>  c", "<|endoftext|>"]
     return base + base[:5] + near + shared + odd
 
 
@@ -179,6 +181,7 @@ def test_minhash(docs, empty):
     assert sorted((str(g.doc_id), g.n_shingles, g.component_id) for g in got) == sorted((str(d), len(s), comp.get(d, d)) for d, s in rows)
     kept = minhash.keep_first(docs)
     assert kept.columns == docs.columns
+    assert minhash.keep_first(empty).count() == 0
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({d for d, _ in rows if d is not None and comp.get(d, d) == d})
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -189,7 +192,6 @@ def test_packing(docs, empty):
     import public_tokenizers as public
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(docs, length=64, limit=3).collect()
     ids = {}
     for d, t in docs.select("doc_id", "text").distinct().collect():
@@ -202,7 +204,8 @@ def test_packing(docs, empty):
         seqs[r.sequence_id].append((r.offset, r.length))
     copies = collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
     for d, p in pieces.items():
-        assert sum(n for _, n in p) == copies[d] * len(ids[d])
+        times = collections.Counter(k for at, n in p for k in range(at, at + n))
+        assert set(times) == set(range(len(ids[d]))) and set(times.values()) == {copies[d]}
     for s in seqs.values():
         at = 0
         for o, n in sorted(s):
@@ -267,6 +270,35 @@ def test_strip_keeps_columns(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+CLASH = "row string, h long, g long, k long, key string, d long, xh long, spans string, t string, failed string, v string, n_words long, pos long, _d long, _x long, c long, body string, size long, source_size long, B long"
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Stages that return documents pass on columns that are called like their own."""
+    names = [c.split()[0] for c in CLASH.split(", ")]
+    passage = prose(60)
+    texts_ = [prose(80) + " " + passage for _ in range(4)] + [prose(50) for _ in range(6)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *("x" if c.endswith("string") else 77 + i for c in CLASH.split(", "))) for i, t in enumerate(texts_)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASH)
+    for f in (quality_rules.keep_good, minhash.keep_first, run_index.strip, mixing.take):
+        out = f(d)
+        assert out.columns == d.columns
+        got = {r.doc_id: [r[n] for n in names] for r in out.collect()}
+        assert got and all(v == list(rows[i][5:]) for i, v in got.items()), f
+    assert mixing.plan(d).count() == quality_rules.judge(d).count() == run_index.measure(d).count() == minhash.near_duplicates(d).count() == 10
+
+
+def test_rows_that_share_a_doc_id_keep_their_texts(spark):
+    a, b, c = prose(50), prose(50), prose(50)
+    near = b.split()
+    near[0] = "other"
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, " ".join(near)), (5, None), (5, ""), (None, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, minhash.keep_first(d).collect())) == sorted(map(str, d.where("doc_id is null or doc_id in (1, 5) or doc_id = 3").distinct().collect()))
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (None, None)}
+
+
 def test_matching_statistics():
     parts = [b"abracadabra" * 3, b"cadabra", b"xyz", b"bracada"]
     x = run_index.RunIndex(parts)
@@ -347,7 +379,41 @@ def test_mixing(docs, empty):
         assert abs(sum(r.taken for r in rows if r.source_size == size) - target) <= 4 * mixing.LEAST_BLOCK
     assert sorted(map(str, mixing.plan(docs).collect())) == sorted(map(str, rows))
     assert mixing.take(docs).columns == docs.columns
-    assert mixing.plan(empty).count() == 0
+    assert mixing.plan(empty).count() == mixing.take(empty).count() == 0
+
+
+def test_mix_is_the_schedule(spark, monkeypatch):
+    """Slots in order, each with the documents whose middle word lies in its block of the source's stream."""
+    monkeypatch.setattr(mixing, "RUN", 8)
+    rows = [(i, prose(R.randint(0, 60)), ["a", "b", None, "d"][min(3, i % 7)]) for i in range(150)] + [(7, "same text here", "a")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = [(r.doc_id, r.text, r.source) for r in mixing.take(d).collect()]
+    size = lambda t: len(t.split())
+    key = lambda r: (hashlib.md5(f"mix:{r[0]}".encode()).hexdigest(), size(r[1]))
+    total = collections.Counter()
+    for r in rows:
+        total[r[2]] += size(r[1])
+    info = mixing.targets(mixing.sized(d)).collect()
+    least = min(x.target for x in info if x.target > 0)
+    block = max(16, -(-sum(total.values()) // mixing.SLOTS))
+    block = max(16, int(least // 64)) if block * 64 > least else block
+    n = round(sum(total.values()) / block)
+    ends, seen, want = [(x.lo, x.hi, x.source) for x in info], collections.Counter(), collections.defaultdict(list)
+    at = {}
+    for k in range(n):
+        x = (k + 0.5) * mixing.GOLDEN % 1.0
+        s = next(s for lo, hi, s in ends if lo <= x < hi)
+        at[s, seen[s]] = k
+        seen[s] += 1
+    for s in total:
+        off = 0
+        for r in sorted((r for r in rows if r[2] == s), key=key):
+            for e in range(3):
+                pos = off + size(r[1]) // 2 + e * total[s]
+                if size(r[1]) and (s, pos // block) in at:
+                    want[at[s, pos // block]].append((pos, r))
+            off += size(r[1])
+    assert got == [r for k in sorted(want) for _, r in sorted(want[k], key=lambda x: x[0])]
 
 
 def test_mixing_keeps_small_sources(spark, monkeypatch):
@@ -377,17 +443,52 @@ def test_decoding_is_hierarchical():
     assert extract.decode(nodes, np.array([1.0, -3.0, 2.0, 2.0])).all()
 
 
+def test_decoding_is_the_best_of_all_labellings():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(r.integers(2, 9))
+        nodes = [extract.Node("div", int(r.integers(i)) if i else -1, 0, [], 0, 0, 0) for i in range(n)]
+        score = np.round(r.normal(size=n), 1)
+        ok = [y for y in itertools.product((False, True), repeat=n) if y[0] and all(y[nodes[i].parent] or not y[i] for i in range(1, n))]
+        best = max(sum(s if k else -s for s, k in zip(score, y)) for y in ok)
+        got = tuple(extract.decode(nodes, score).tolist())
+        assert got in ok and sum(s if k else -s for s, k in zip(score, got)) == pytest.approx(best)
+    assert extract.decode(extract.parse("<p>a<p>b")[0], np.zeros(3)).tolist() == [True] * 3
+
+
 def test_extraction_of_unseen_pages():
     m = extract.model()
     right = 0
     pages = extract.pages_to_learn(60, seed=1234)
     for page, labels in pages:
-        nodes, pieces, chars = extract.parse(page)
-        take = extract.decode(nodes, m.score(extract.features(nodes, chars)))
-        right += np.mean(take == np.array(labels)) > 0.9
+        got = extract.parse(page, m.weights)
+        right += len(got[0]) == len(labels) and bool((extract.decode(got[0], m.score(got)) == np.array(labels)).all())
     assert right >= 0.85 * len(pages)
 
 
+def test_unknown_names_weigh_nothing():
+    m = extract.model()
+    page = "<body><div class='zzq'><h1>Title of it</h1><p>" + "Plain words of a story, and more of them. " * 12 + "</p><p>" + "Another part of it, long enough. " * 9 + "</p></div><ul class='qqz'><li><a href=/>Home</a><li><a href=/x>News</a><li><a href=/y>More</a></ul></body>"
+    assert not {"zzq", "qqz"} & set(m.weights)
+    assert extract.main_texts([page], m)[0].startswith("Title of it\nPlain words")
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    m = extract.model()
+    pages = ["<a " * 350_000, "<a " * 350_000 + ">", '<a ">" ' * 150_000, "<div>" * 2000 + "</x>" * 250_000, "<b>" * 100_000 + "<hr>" * 50_000, "<!" * 400_000, "<script>" * 100_000, "<a b='" * 100_000]
+    for p in pages:
+        began = time.process_time()
+        extract.main_texts([p], m)
+        assert time.process_time() - began < 5
+
+
+def test_broken_tags():
+    text = lambda p: extract.text_of(extract.parse(p)[1], [True] * 99)
+    assert text("a < b <c") == "a < b <c"
+    assert text("<!-- x") == "" and text("1<script>2") == "1" and text("1<SCRIPT>2</script >3") == "13"
+    assert text("<p title='a>b'>c<P>d</q>e") == "c\nde" and text("x<!doctype>y<?z?>") == "xy"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
