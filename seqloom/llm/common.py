@@ -54,12 +54,14 @@ def words_column(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only in local mode where the session names none, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not d and jvm.isDefined():
         d = jvm.get()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="seqloom-")
     if not jvm.isDefined():
         spark.sparkContext.setCheckpointDir(d)
@@ -72,6 +74,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return p
 
 
+def own(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of ours, like those given, that df does not have in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
