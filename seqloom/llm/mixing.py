@@ -6,42 +6,49 @@ The mix is a row of slots of equal tokens. Slot k gets the point frac((k + 1/2)
 interval of one source on the cumulative targets; its rank among that source's slots names the block of the source's
 shuffled, endlessly repeated stream that it takes. Every prefix of the mix is then near the target weights.
 
-Documents are shuffled by md5(seed:doc_id). Their places in the stream come from sums over 65,536 buckets of that hash and
-running sums inside a bucket, so that a source with a third of all rows is never in one task. A block grows with the corpus
-(SLOTS) only as far as every source keeps a target of FEW blocks; slots are counted by source and need no order. Sources are
-a dimension of a few rows.
+Documents are shuffled by md5(seed:doc_id). Their places in the stream come from sums over 65,536 buckets of that hash, in two
+steps of 256, and running sums inside a bucket, so that a source with a third of all rows is never in one task. A block grows
+with the corpus (SLOTS) only as far as every source keeps a target of FEW blocks. Ranks of slots are running counts inside
+runs of RUN slots, on top of sums of the runs before. Sources are a dimension of a few rows.
 
 Null and empty texts have size 0 and are not taken. Null doc_ids count as one id. Repeated rows are separate documents
-that follow one another. An empty table gives an empty result. Extra columns are kept by take() and ignored by plan().
+that follow one another. An empty table gives an empty result. Extra columns are kept by take(), whatever they are called,
+and ignored by plan().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_column
+from .common import cut, drop, words_column
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
 FEW = 64
+RUN = 4096
 GOLDEN = 0.6180339887498949
 SEED = "mix"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with _size, _h (shuffle key) and _b (its bucket)."""
+def _key(source) -> Column:
+    """A join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """(source, key, size, h, b) of each row, and more: h is the shuffle key, b its bucket."""
     h = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumns({"_size": F.size(words_column(F.col("text"))).cast("long"), "_h": h})
-    return d.withColumn("_b", F.substring("_h", 1, 4))
+    d = docs.select(F.col("source").cast("string").alias("source"), F.size(words_column(F.col("text"))).cast("long").alias("size"), h.alias("h"), *more)
+    return d.withColumns({"key": _key(F.col("source")), "b": F.substring("h", 1, 4)})
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, weight, target, lo, hi): one row per source; lo and hi are its interval of [0, 1)."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
     s = s.withColumn("weight", w)
     fill = Window.orderBy(F.lit(REPEATS) * F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -58,8 +65,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).select("source", "source_size", "weight", "target", "lo", "hi")
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """(_s, _words): what the slots of each source hold together. Its slots take the first blocks of its stream in order."""
+def slots(sources: DataFrame) -> tuple[DataFrame, int]:
+    """(k, key): the slots of the mix with their source, and the words of a block."""
     total, least = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     block = max(LEAST_BLOCK, -(-total // SLOTS))
     if least and block * FEW > least:
@@ -67,48 +74,66 @@ def schedule(sources: DataFrame) -> DataFrame:
     n = round(total / block)
     cells = 1024
     x = (F.col("id") + 0.5) * GOLDEN
-    points = sources.sparkSession.range(n).withColumn("x", x - F.floor(x)).withColumn("cell", F.floor(F.col("x") * cells))
-    spans = sources.where("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))).alias("cell"))
-    # the last interval ends at 1, or an ulp beside it
-    slots = points.join(F.broadcast(spans), "cell").where("x >= lo and x < hi")
-    return cut(slots.groupBy(F.col("source").alias("_s")).agg((F.count("*") * block).alias("_words")), "mix-slots")
+    points = sources.sparkSession.range(n).select(F.col("id").alias("k"), (x - F.floor(x)).alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
+    spans = sources.where("hi > lo").select(_key(F.col("source")).alias("key"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))).alias("cell"))
+    # the last interval ends at 1, or an ulp beside it; spans has a row or two per cell and source
+    return points.join(F.broadcast(spans), "cell").where("x >= lo and x < hi").select("k", "key"), block
+
+
+def ranked(taken: DataFrame) -> DataFrame:
+    """(k, key, rank): slots with their rank among those of their source."""
+    taken = taken.withColumn("run", F.floor(F.col("k") / RUN))
+    per = taken.groupBy("key", "run").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("key", "run").orderBy("k")) - 1
+    return taken.withColumn("i", inside).join(per.select("key", "run", before.alias("before")), ["key", "run"]).select("k", "key", (F.col("before") + F.col("i")).alias("rank"))
 
 
 def placed(d: DataFrame) -> DataFrame:
-    """sized() rows with _off: the words before the document in its source's stream."""
-    per = d.groupBy("source", "_b").agg(F.sum("_size").alias("_n"))
-    by = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = per.select(F.col("source").alias("_s"), F.col("_b").alias("_sb"), F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    return d.join(start, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).withColumn("_off", F.col("_start") + F.col("_in")).drop("_s", "_sb", "_in", "_start")
+    """sized() rows with off: the words before the document in its source's stream. Rows of one h and size are in no order."""
+    prior = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = d.groupBy("key", "b").agg(F.sum("size").alias("n")).withColumn("a", F.substring("b", 1, 2))
+    tops = per.groupBy("key", "a").agg(F.sum("n").alias("n")).select("key", "a", prior(Window.partitionBy("key").orderBy("a")).alias("top"))
+    start = per.select("key", "a", "b", prior(Window.partitionBy("key", "a").orderBy("b")).alias("start")).join(tops, ["key", "a"])
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("key", "b").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("within", inside).join(start.select("key", "b", (F.col("start") + F.col("top")).alias("start")), ["key", "b"])
+    return d.withColumn("off", F.col("start") + F.col("within")).drop("start", "within")
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs."""
-    d = cut(sized(docs).select("doc_id", "source", "_size", "_h", "_b"), "mix")
+    d = cut(sized(docs, F.col("doc_id")), "mix")
     sources = cut(targets(d), "mix-sources")
-    n = F.broadcast(schedule(sources))
-    p = placed(d).join(sources.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t")))
-    p = p.join(n, F.col("source").eqNullSafe(F.col("_s")), "left")
-    left = lambda e: F.coalesce("_words", F.lit(0)) - F.col("_off") - F.lit(e) * F.col("source_size")
-    taken = sum(F.greatest(F.lit(0), F.least(F.col("_size"), left(e))) for e in range(REPEATS))
-    return p.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    taken, block = slots(sources)
+    words = cut(taken.groupBy("key").agg((F.count("*") * block).alias("words")), "mix-slots")
+    of = sources.select(_key(F.col("source")).alias("key"), "source_size", "target").join(words, "key", "left")
+    p = placed(d).join(F.broadcast(of), "key")  # a row per source
+    left = lambda e: F.coalesce("words", F.lit(0)) - F.col("off") - F.lit(e) * F.col("source_size")
+    taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), left(e))) for e in range(REPEATS))
+    return p.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as the schedule takes it (0 to REPEATS times), with the columns of docs.
-
-    A document is taken in a round when its middle word is. Slots of a source have the ranks 0 to n - 1, so the stream's
-    first n blocks are taken."""
-    d = sized(docs)
-    sources = cut(targets(d.select("source", "_size")), "mix-sources")
-    sizes = sources.select(F.col("source").alias("_t"), "source_size")
-    n = F.broadcast(cut(schedule(sources).join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"), "mix-words"))
-    p = placed(d).where("_size > 0").join(n, F.col("source").eqNullSafe(F.col("_s")))
-    middle = F.col("_off") + F.floor(F.col("_size") / 2)
-    times = sum(((middle + F.lit(e) * F.col("source_size")) < F.col("_words")).cast("int") for e in range(REPEATS))
-    return p.withColumn("_t", times).where("_t > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(docs.columns)
+    """The documents of the mix in the order of its slots, each as often as the schedule takes it (0 to REPEATS times), with
+    the columns of docs.
+
+    A document goes to the slot that takes the block of its source's stream with the document's middle word; in a slot,
+    documents keep the order of the stream. The schedule is made of hashes and sizes alone; texts are joined to it once,
+    equal rows as one, and then sorted."""
+    g = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    d = cut(sized(docs, g.alias("g")), "mix")
+    sources = cut(targets(d), "mix-sources")
+    taken, block = slots(sources)
+    ranks = cut(ranked(taken), "mix-slots")
+    size = F.broadcast(sources.select(_key(F.col("source")).alias("key"), "source_size"))  # a row per source
+    at = placed(d.where("size > 0")).join(size, "key")
+    at = at.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("pos", F.col("off") + F.floor(F.col("size") / 2) + F.col("e") * F.col("source_size"))
+    at = at.select("key", F.floor(F.col("pos") / block).alias("rank"), "pos", "h", "g")
+    times = cut(at.join(ranks, ["key", "rank"]).select("h", "g", "k", "pos"), "mix-times")
+    for used in (d, ranks):
+        drop(used)
+    text = sized(docs, g.alias("g"), F.struct(*docs.columns).alias("row")).select("h", "g", "row").dropDuplicates(["h", "g"])
+    return text.join(times, ["h", "g"]).orderBy("k", "pos").select("row.*")
 
 
 ORACLE = f"""
