@@ -6,7 +6,8 @@ how often it is right when it votes. The posterior probability of good replaces
 all-rules-must-pass filter.
 
 Null and empty texts have no words: every count is 0 and base_failed is true. Repeated rows are judged alike.
-Extra columns stay untouched; names of ours that clash are avoided by working in one struct column.
+Extra columns stay untouched, whatever they are called: a row travels as one struct column beside the columns of ours.
+Long lines, long words and texts of any length are read whole. An empty table gives an empty result; EM then keeps its priors.
 """
 
 from __future__ import annotations
@@ -46,9 +47,10 @@ def repeat_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with columns _q_* : the base counts and the inputs of the rules."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_q_w", words_column(F.col(text))).withColumn("_q_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    """(row, _q_*): the row of docs as a struct, the base counts and the inputs of the rules."""
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_q_text"))
+    t = F.coalesce("_q_text", F.lit(""))
+    d = d.withColumn("_q_w", words_column(F.col("_q_text"))).withColumn("_q_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # flat columns: fields of a struct would be computed anew wherever they are used
     return d.withColumns(
         {
@@ -62,7 +64,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "_q_n_upper": F.regexp_count(t, F.lit(r"[A-Z]")),
             "_q_n_ends": F.regexp_count(t, F.lit(r"[.!?](\s|$)")),
         }
-    ).drop("_q_w", "_q_l")
+    ).drop("_q_w", "_q_l", "_q_text")
 
 
 def base_failed(q: str = "_q_") -> Column:
@@ -123,7 +125,7 @@ def learn(judged: DataFrame) -> dict:
 def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, the base counts, base_failed, p_good and kept of each row."""
     f = features(docs, text)
-    t = cut(f.select(*keys, *(F.col(f"_q_{c}").alias(c) for c in BASE), base_failed().alias("base_failed"), votes().alias("v")), "quality")
+    t = cut(f.select(*(F.col("row")[k].alias(k) for k in keys), *(F.col(f"_q_{c}").alias(c) for c in BASE), base_failed().alias("base_failed"), votes().alias("v")), "quality")
     p = posterior(learn(t), F.col("v"))
     return t.select("*", p.alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
@@ -131,6 +133,6 @@ def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are judged good, with their columns as they were."""
     f = features(docs, text)
-    t = cut(f.select(*docs.columns, base_failed().alias("_q_failed"), votes().alias("_q_v")), "quality-docs")
-    p = posterior(learn(t.select(F.col("_q_v").alias("v"))), F.col("_q_v"))
-    return t.where(~F.col("_q_failed") & (p >= 0.5)).select(docs.columns)
+    t = cut(f.select("row", base_failed().alias("failed"), votes().alias("v")), "quality-docs")
+    p = posterior(learn(t), F.col("v"))
+    return t.where(~F.col("failed") & (p >= 0.5)).select("row.*")
