@@ -14,7 +14,7 @@ is gathered. Equality of windows and segments that is not compared byte by byte
 
 Null and empty texts have 0 bytes. Texts shorter than LENGTH lose nothing. Null doc_ids are documents like any other.
 Repeated rows repeat each other. Empty tables give empty results. Extra columns are kept by strip() and ignored by
-measure(). Texts of any length are scanned in pieces.
+measure(), whatever they are called. Texts of any length are scanned in pieces.
 """
 
 from __future__ import annotations
@@ -120,14 +120,14 @@ class RunIndex:
         short = np.minimum(self.rem, 8)
         fill = np.array([(1 << (64 - 8 * k)) - 1 for k in range(9)], dtype=object).astype(np.uint64)
         self.key = key | fill[short]
-        rank = np.unique(self.key, return_inverse=True)[1]
+        rank = np.unique(self.key, return_inverse=True)[1].astype(np.int32)
         self.levels = [(8, rank)]
         h = 8
         while rank.max() < n - 1:
             second = n + owner
             far = np.flatnonzero(self.rem > h)
             second[far] = rank[far + h]
-            rank = np.unique((rank.astype(_U) << _U(32)) | second.astype(_U), return_inverse=True)[1]
+            rank = np.unique((rank.astype(_U) << _U(32)) | second.astype(_U), return_inverse=True)[1].astype(np.int32)
             h *= 2
             self.levels.append((h, rank))
         order = np.empty(n, np.int64)
@@ -221,16 +221,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(h), pa.array(np.full(n, c)), pa.array(np.full(n, d)), pa.array(np.full(n, xh)), pa.array(np.arange(lo, lo + n, dtype=np.int64))], ["anchor", "h", "c", "d", "xh", "lo"])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with d and xh, which tell documents apart (rows that share both are equal), and the text's bytes."""
+def keyed(docs: DataFrame, *more) -> DataFrame:
+    """(d, xh, body) and more of each row: d and xh tell documents apart (rows that share both are equal), body is the text's bytes."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)), "_xh": F.xxhash64(body), "_body": body})
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("d"), F.xxhash64(body).alias("xh"), body.alias("body"), *more)
 
 
 def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(d, xh, spans): for each document with repeats, intervals of bytes that cover them; they may overlap."""
     k = keyed(docs)
-    found = cut(k.select("_d", "_xh", "_body").mapInArrow(_scan, _SEGMENT), "ri-segments")
+    found = cut(k.mapInArrow(_scan, _SEGMENT), "ri-segments")
     twice = found.groupBy("anchor").agg(F.count("*").alias("m"), (F.min("seg") != F.max("seg")).alias("differ")).where("m > 1").drop("m")
     again = cut(found.join(twice, "anchor"), "ri-again")
     drop(found)
@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     one = cut(one.select("anchor", "seg", "c", "differ", "r.*"), "ri-classes")
     whole = again.join(one.where("c > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("d", "xh", F.col("lo").cast("long"), (F.col("hi") + LENGTH).cast("long").alias("hi"))
     ask = one.where("differ").groupBy("d", "xh").agg(F.collect_list(F.struct("anchor", "c", "lo", "hi", "off")).alias("wanted"))
-    texts = k.select(F.col("_d").alias("d"), F.col("_xh").alias("xh"), "_body").join(ask, ["d", "xh"]).dropDuplicates(["d", "xh"]).select("d", "xh", "_body", "wanted")
+    texts = k.join(ask, ["d", "xh"]).dropDuplicates(["d", "xh"]).select("d", "xh", "body", "wanted")
     parts = cut(texts.mapInArrow(_slices, "anchor long, c long, d long, xh long, lo long, off long, part binary"), "ri-parts")
     tidy(docs.sparkSession)
     sizes = parts.groupBy("anchor").agg(F.sum(F.octet_length("part")).alias("bytes"))
@@ -247,11 +247,16 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     total = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0]
     calm = parts.join(big, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(total // BUCKET + 1)))
     marks = calm.groupBy("bucket").applyInArrow(lambda t: _bucket(t), _MARK)
+    w = None
     if not big.isEmpty():
         w = cut(parts.join(big, "anchor", "left_semi").mapInArrow(_windows, "anchor long, h long, c long, d long, xh long, lo long"), "ri-windows")
         more = w.groupBy("anchor", "h").agg(F.sum("c").alias("n")).where("n > 1").select("anchor", "h")
         marks = marks.union(w.where("c = 1").join(more, ["anchor", "h"], "left_semi").select("d", "xh", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    return marks.union(whole).groupBy("d", "xh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = cut(marks.union(whole).groupBy("d", "xh").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "ri-spans")
+    for used in (again, one, parts, big, w):
+        drop(used)
+    tidy(docs.sparkSession)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -282,13 +287,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    return keyed(docs).join(repeats(docs).withColumnsRenamed({"d": "_rd", "xh": "_rx", "spans": "_spans"}), (F.col("_d") == F.col("_rd")) & (F.col("_xh") == F.col("_rx")), "left")
-
-
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return _joined(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "_body", "_spans").mapInArrow(_measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    j = keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).join(repeats(docs), ["d", "xh"], "left")
+    return j.select("doc_id", "body", "spans").mapInArrow(_measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -298,10 +300,10 @@ def strip(docs: DataFrame) -> DataFrame:
     def left(body, spans):
         return pd.Series([None if s is None else rest(bytes(x), merged(list(s))).decode("utf-8", "ignore") for x, s in zip(body, spans)], dtype=object)
 
-    j = _joined(docs)
+    j = keyed(docs, F.struct(*docs.columns).alias("row")).drop("body").join(repeats(docs), ["d", "xh"], "left")
     # the bytes are made after the join, of documents with repeats only: the shuffle carries the text once
-    body = F.when(F.col("_spans").isNotNull(), F.encode("text", "UTF-8"))
-    j = j.withColumn("text", F.when(F.col("_spans").isNotNull(), left(body, "_spans")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return j.select(docs.columns)
+    text = F.col("row")["text"]
+    body = F.when(F.col("spans").isNotNull(), F.encode(text, "UTF-8"))
+    j = j.withColumn("t", F.when(F.col("spans").isNotNull(), left(body, "spans")).otherwise(text))
+    new = {"text": F.col("t"), "n_chars": F.length("t").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return j.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
