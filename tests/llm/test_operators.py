@@ -95,28 +95,120 @@ def test_language_model(docs, empty):
 
 
 def test_contexts_are_whole_words(spark):
-    """Words with one ending are contexts of their own: what follows each is nearly certain."""
+    """Words with one ending are contexts of their own, in one partition: what follows each is nearly certain."""
     words = ["walking", "talking", "king", "looking"]
-    w, c = pitman_yor.tokens(" ".join(f"{x} then" for x in words).encode())
-    assert len(set(c.tolist())) == len(words) + 2 and c[0] == 0 and (c[1:] == w[:-1]).all()
+    c, w = pitman_yor.tokens(" ".join(f"{x} then" for x in words).encode())
+    assert len(set(c.tolist())) == len(words) + 2 and c[0] == 0 and w[-1] == pitman_yor.END
+    assert len({int(x) >> 40 for x in c[1::2]}) == 1 and len({int(x) for x in c[1::2]}) == len(words)
     rows = [(i, " ".join(f"{a} next{k}" for k, a in enumerate(words)), "x") for i in range(400)]
     got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(g.score / g.n_tokens > -0.05 for g in got)
 
 
-def test_seating_is_bounded_by_customers():
+def test_lexicon_forgets_within_its_bound():
+    few, many = pitman_yor.Lexicon(7), pitman_yor.Lexicon()
+    words = [b"w%d" % (i * i % 23) for i in range(100)]
+    for x, y in zip(few.of(words), many.of(words)):
+        assert (x == y).all() and len(x) == 100
+
+
+@pytest.mark.parametrize("few", [1, 64, 10_000])
+def test_seating_of_one_after_the_other(few, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FEW", few)
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000])
     t = pitman_yor.seat(c, np.full(5, 0.5), 0.5, rng)
     assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0
-
-
-def test_predictive_probabilities_sum_to_one():
-    t = pitman_yor.Totals(np.array([5.0]), np.array([2.0]), 2, 2, 0.5, 0.5, 2, 5)
-    root = t.root(np.array([1.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0]))
-    assert root.sum() == pytest.approx(1)
-    inside = (np.maximum(np.array([3.0, 2.0, 0.0]) - 0.5 * np.array([1, 1, 0]), 0) + (1 + 0.5 * 2) * root) / (1 + 5)
-    assert inside.sum() == pytest.approx(1)
+    p = np.zeros(41)  # of the number of tables
+    p[1] = 1
+    for j in range(1, 40):
+        new = 0.7 / (0.7 + j - 0.4 * np.arange(41))
+        p = p * (1 - new) + np.concatenate([[0], (p * new)[:-1]])
+    t = pitman_yor.seat(np.full(4000, 40), np.full(4000, 0.7), 0.4, rng)
+    assert t.mean() == pytest.approx(p @ np.arange(41), rel=0.05)
+
+
+def partitions(n):
+    """All ways to seat n customers, as lists of table sizes."""
+    if not n:
+        yield []
+        return
+    for sizes in partitions(n - 1):
+        yield [*sizes, 1]
+        for i in range(len(sizes)):
+            yield [*sizes[:i], sizes[i] + 1, *sizes[i + 1 :]]
+
+
+def test_moves_leave_the_posterior_as_it_is():
+    """Restaurants of two dishes, 4 and 3 customers, against all their seatings."""
+    a, d, h = 0.8, 0.4, np.array([0.3, 0.1])
+    weight = collections.Counter()
+    for x in partitions(4):
+        for y in partitions(3):
+            size = lambda k: math.prod(i - d for i in range(1, k))
+            t = len(x) + len(y)
+            weight[len(x), len(y)] += math.prod(a + d * i for i in range(t)) * h[0] ** len(x) * h[1] ** len(y) * math.prod(map(size, x + y))
+    total = sum(weight.values())
+    k = 3000
+    tables = pitman_yor.Tables(np.tile([4, 3], k))
+    rng = np.random.default_rng(5)
+    dish = np.arange(2 * k)
+    for _ in range(60):
+        for part in (0, 1):  # one dish of a restaurant at a time
+            live = dish[dish % 2 == part]
+            own = np.bincount(dish // 2, tables.t)[live // 2]
+            tables.move(live, lambda closed: (a + d * (own - closed)) * h[part], d, rng)  # noqa: B023
+            assert (np.bincount(np.repeat(dish, tables.t), tables.sizes) == tables.n).all()
+    got = collections.Counter(map(tuple, tables.t.reshape(-1, 2).tolist()))
+    for key, w in weight.items():
+        assert abs(got[key] / k - w / total) < 0.04, key
+
+
+def test_probabilities_after_a_context_add_up_to_one():
+    """The operator's own state, with every word of the vocabulary and an unknown one asked for after every context."""
+    rng = np.random.default_rng(3)
+    contexts = np.sort(np.array([(g << 40) + u for g in range(3) for u in range(4)], np.uint64))
+    v = 31
+    c, w = np.repeat(contexts, v), np.tile(np.arange(v, dtype=np.uint64) + 5, len(contexts))
+    n = rng.poisson(0.7, len(c)) ** 2
+    n[c == contexts[-1]] = 0  # a context without training
+    n[w == w[v - 1]] = 0  # the unknown word
+    packed = [pitman_yor.pack_sorted(w[:v]), pitman_yor.pack(np.tile(np.arange(v), len(contexts)).astype(np.uint32)), pitman_yor.pack_sorted(contexts), pitman_yor.pack(np.full(len(contexts), v, np.uint32)), pitman_yor.pack(n.astype(np.uint64))]
+    s = pitman_yor.State(*packed)
+    model = pitman_yor.Model((1.0, 2.0, 0.5), (0.7, 0.5, 0.4), 0.0, 0.0, v - 1, int(n.sum()))
+    for _ in range(6):
+        c0 = np.bincount(s.word, s.high, v)
+        r0 = pitman_yor.seat(c0, np.full(v, 0.3), 0.4, rng)
+        model = model._replace(customers=c0.sum(), tables=r0.sum())
+        root = model.root(c0, r0)
+        assert root.sum() == pytest.approx(1, abs=1e-12)
+        for _ in range(2):
+            s.sweep(model, root, rng)
+            p = s.predictive(model, root).reshape(len(contexts), v)
+            assert (p > 0).all() and np.abs(p.sum(1) - 1).max() < 1e-12
+        sizes, high = pitman_yor.pack(s.low.sizes.astype(np.uint64)), pitman_yor.pack(s.high.astype(np.uint64))
+        again = pitman_yor.State(*packed, sizes, high)
+        assert (again.low.t == s.low.t).all() and np.allclose(again.predictive(model, root), s.predictive(model, root))
+        levels = s.report(0, 2, model)[-1][-1]
+        (a, d), (a1, d1) = pitman_yor.inferred(levels[:4]), pitman_yor.inferred(levels[4:])
+        assert a > 0 < a1 and 0 < d < 1 and 0 < d1 < 1
+
+
+def test_digamma():
+    x = np.array([0.1, 1.0, 3.5, 40.0])
+    h = 1e-5
+    assert pitman_yor._digamma(x) == pytest.approx([(math.lgamma(v + h) - math.lgamma(v - h)) / 2 / h for v in x], abs=1e-5)
+
+
+def test_repeated_documents_score_higher(spark):
+    """The model learns what comes twice: the same text, once held out alone and once also in training."""
+    base = [prose(60) for _ in range(80)]
+    held = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 10]
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    once, twice = prose(60), prose(60)
+    rows = [*zip(free[:80], base), (held[0], once), (held[1], twice), (free[81], twice)]
+    got = {r.doc_id: r.score / r.n_tokens for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[1]] > got[held[0]] + 0.3
 
 
 def test_vectors(spark, docs):
