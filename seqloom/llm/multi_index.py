@@ -5,7 +5,7 @@ as a query it visits cells in order of the sum of its two squared half distances
 visits is measured: at most SAMPLE vectors are compared with ALL vectors, and the visits are enough that TARGET of these links
 are met by either side, doubled for safety, up to all cells. Where a table larger than the sample shows under MEASURED links,
 invented partners at the threshold are measured too. Candidates are verified by cosine in double precision. The codebooks come
-from the sample; every vector is indexed.
+from the sample and grow with the root of the number of vectors up to an eighth of it, 2500 words a half; every vector is indexed.
 
 Vectors with equal components are one class with a count. A cell's members and visitors meet in blocks of bounded size, in
 which one matrix product gives each vector's number of links and a spanning forest of the links; pairs are never listed.
@@ -75,7 +75,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n: int, seed: int = 5):
         self.half = sample.shape[1] // 2 or 1
-        k = int(max(1, min(256, np.sqrt(n / 8), len(sample))))
+        k = int(max(1, min(np.sqrt(n / 8), max(len(sample) // 8, 256), len(sample))))
         self.books = [codebook(sample[:, : self.half], k, seed), codebook(sample[:, self.half :], k, seed + 1)]
         self.visits = 4
 
@@ -194,16 +194,8 @@ def _meet(t: pa.Table, indexes: dict[int, Index]) -> pa.Table:
     x = np.frombuffer(b"".join(t["unit"].to_pylist()), np.float64).reshape(-1, d)
     ids, copies, home, last, reach = (t[c].to_numpy() for c in ("id", "copies", "home", "last", "reach"))
     q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-    links: dict[int, int] = {}
-    root: dict[int, int] = {}
-
-    def find(a: int) -> int:
-        while root.setdefault(a, a) != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    edges: list[tuple[int, int]] = []
+    node, local = np.unique(ids, return_inverse=True)
+    links, root = np.zeros(len(node), np.int64), np.arange(len(node))
     for at in range(0, len(q), 512):
         part = q[at : at + 512]
         i, j = np.nonzero(x[part] @ x[m].T >= COSINE)
@@ -213,21 +205,28 @@ def _meet(t: pa.Table, indexes: dict[int, Index]) -> pa.Table:
         far = np.concatenate([indexes[d].far(x[j[k : k + 20_000]], home[i[k : k + 20_000]]) for k in range(0, len(j), 20_000)] or [np.zeros(0, np.int64)])
         alone = (far > reach[j]) | ((far == reach[j]) & (home[i] > last[j]))  # the member does not come to the visitor's own cell
         for k, n in ((i, copies[j]), (j[alone], copies[i[alone]])):
-            for a, c in zip(*_sums(ids[k], n)):
-                links[a] = links.get(a, 0) + c
-        # an edge from each visitor to its first partner, then those that still join two trees
-        for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                root[max(ra, rb)] = min(ra, rb)
-                edges.append((a, b))
-    n, e = len(links), len(edges)
-    return pa.table({"id": pa.array([*links, *[None] * e], pa.int64()), "links": pa.array([*links.values(), *[None] * e], pa.int64()), "u": pa.array([None] * n + [a for a, _ in edges], pa.int64()), "v": pa.array([None] * n + [b for _, b in edges], pa.int64())})
-
-
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
-    u, at = np.unique(keys, return_inverse=True)
-    return u.tolist(), np.bincount(at, values, len(u)).astype(np.int64).tolist()
+            np.add.at(links, local[k], n)
+        unite(root, local[i], local[j])
+    met, away = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(node)))
+    n, e = len(met), len(away)
+    none = lambda k: np.zeros(k, np.int64)
+    # a row for each vector with links, then an edge from each to the smallest of its tree
+    first = np.arange(n + e) < n
+    columns = {"id": (node[met], none(e)), "links": (links[met], none(e)), "u": (none(n), node[away]), "v": (none(n), node[root[away]])}
+    return pa.table({c: pa.array(np.concatenate(v), pa.int64(), mask=~first if c in ("id", "links") else first) for c, v in columns.items()})
+
+
+def unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the trees of linked nodes in place; root gives the smallest node of each one's tree."""
+    while True:
+        a, b = root[u], root[v]
+        open_ = a != b
+        if not open_.any():
+            return
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def near_duplicates(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -3,13 +3,14 @@
 Writing: records with equal payloads of at least min_bytes are one group (by SHA-1 and length); the largest page_id of a
 group is a response, the others are revisits that refer to it. A response's HTTP message is framed in chunks; one longer than
 SEGMENT bytes is split into a first record and continuation records, which carry the first one's id and their number.
-Each task writes gzip archives of about ARCHIVE bytes into the shared folder under a temporary name and renames them when
-they are whole, so that a task that runs twice leaves the same files.
+Each attempt of a task writes gzip archives of about ARCHIVE bytes into the shared folder under names of its own, and the table
+of archives lists those of the attempts that count: files of lost attempts are never read. Equal payloads find their response
+by a join in which each group is dealt over SALT tasks.
 
 Reading: whole records are decoded where they are parsed. Segments are grouped by their origin's id, put in order by
 number, joined, held against the total length that the last one states and the digest, and freed of chunk framing. A group
 is one record's segments. A record with a missing or repeated segment, a wrong length or digest is returned with intact
-false.
+false, as is a revisit without a digest or a page that it refers to.
 
 Null html is the empty payload; null url an empty URI. Rows with null page_id are responses. Repeated rows are written and
 read as often as they occur; those with the group's largest page_id are all responses. Empty tables give empty results.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, scratch_path
 
-SEGMENT, CHUNK, ARCHIVE = 16_384, 8_192, 8 << 20
+SEGMENT, CHUNK, ARCHIVE, SALT = 16_384, 8_192, 8 << 20, 16
 DATE = "2024-01-01T00:00:00Z"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary, origin string, number long, total long, block binary"
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
@@ -103,11 +104,10 @@ def _write(path: str, archive: int):
         def close():
             nonlocal part, size
             if buffer:
-                final, now = f"{root}/part-{pid:06d}-{part:06d}.warc.gz", f"{root}/.part-{pid:06d}-{part:06d}-{task.taskAttemptId()}"
-                with where.open_output_stream(now, compression=None) as f:
+                name = f"part-{pid:06d}-{part:06d}-{task.taskAttemptId()}.warc.gz"
+                with where.open_output_stream(f"{root}/{name}", compression=None) as f:
                     f.write(b"".join(buffer))
-                where.move(now, final)
-                made.append(final)
+                made.append(f"{path.rstrip('/')}/{name}")
                 buffer.clear()
                 part, size = part + 1, 0
 
@@ -138,7 +138,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive: int
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     d = pages.select(F.col("page_id").cast("long"), "url", "html").withColumns({"_sha": F.unhex(F.sha1(body)), "_n": F.octet_length(F.coalesce("html", F.lit("")))})
     best = d.groupBy("_sha", "_n").agg(F.max("page_id").alias("_best"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    d = d.join(best, ["_sha", "_n"], "left")
+    best = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    d = d.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALT)), F.lit(0)).cast("int")).join(best, ["_sha", "_n", "_salt"], "left")
     winner = F.when((F.col("_best") != F.col("page_id")) & (F.col("_n") >= min_bytes), F.col("_best"))
     return cut(d.select("page_id", "url", "html", winner.alias("winner")).mapInArrow(_write(path, archive), "path string"), "warc-files")
 
@@ -183,7 +184,8 @@ def _parse(keep: bool):
                     kind, name, sha = h["warc-type"], h["warc-record-id"], h.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "revisit":
                         n = int(block.lower().partition(b"content-length: ")[2].partition(b"\r\n")[0])
-                        rows.append((_page(name), n, sha, kind, _page(h["warc-refers-to"]), True, None, None, None, None, None))
+                        to = _page(h.get("warc-refers-to", "<urn:page:None>"))
+                        rows.append((_page(name), n, sha, kind, to, bool(sha) and to is not None, None, None, None, None, None))
                     elif "warc-segment-number" in h:
                         total = h.get("warc-segment-total-length")
                         rows.append((_page(name), None, sha, kind, None, None, None, h.get("warc-segment-origin-id", name), int(h["warc-segment-number"]), total and int(total), block))
@@ -211,9 +213,22 @@ def _join(keep: bool):
     return run
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, intact and, if asked for, payload of each record."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for p in b.column(0).to_pylist():
+            where, name = fs.FileSystem.from_uri(p)
+            with where.open_input_stream(name, compression=None) as f:
+                yield pa.RecordBatch.from_arrays([pa.array([f.read()], pa.binary())], ["content"])
+
+
+def read_archives(spark: SparkSession, files: DataFrame | str, payloads: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, intact and, if asked for, payload of each record.
+
+    files is the table that write_archives() returned, or a folder of foreign archives, of which all are read."""
+    if isinstance(files, str):
+        files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.gz").load(files).select("content")
+    else:
+        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_open, "content binary")
     read = cut(files.mapInArrow(_parse(payloads), _READ), "warc-records")
     columns = [c.split()[0] for c in _READ.split(", ")[:7]]
     parts = read.where("number is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", F.col("payload_digest").alias("sha"), F.col("page_id").alias("page"), "block"))).alias("parts"))
@@ -224,5 +239,4 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives into the shared folder and read them back."""
     path = scratch_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
-    return read_archives(pages.sparkSession, path, payloads=False)
+    return read_archives(pages.sparkSession, write_archives(pages, path), payloads=False)
