@@ -1,10 +1,12 @@
 """Quality scores by positive-unlabelled learning with the non-negative unbiased risk.
 
-A network of one hidden layer over counts of the text minimises prior * R+(positives) + max(0, R-(unlabelled) -
-prior * R-(positives)). Positives are trusted rows (quality 1), the unlabelled rows any web text; the class prior is the
-share of quality 1 among the labelled training rows. Labels are read only of rows outside the held-out fold; labels, lang,
-source and doc_id are no inputs. The fit uses at most about SAMPLE positives and SAMPLE unlabelled rows, taken by a hash of
-doc_id; everything is scored.
+A network of one hidden layer minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Its inputs are
+rates of a text (symbols, case, repetition and the like) and what its words, pairs of words and runs of four bytes say: each is
+hashed into one of BUCKETS, and the log ratio of a bucket's share of positives to that of all rows, counted over all training rows,
+are averaged over the buckets of the text. Positives are trusted rows (quality 1), the unlabelled rows any web text; the class
+prior is the share of quality 1 among the labelled training rows. Labels are read only of rows outside the held-out fold;
+labels, lang, source and doc_id are no inputs. The network is fitted on a bounded sample, at most 1.2 * SAMPLE positives and as
+many unlabelled rows, taken by a hash of doc_id and text; everything is scored.
 
 Null and empty texts are scored by their counts, all 0. Null doc_ids are in the training fold and are never positives.
 Repeated rows are scored alike. Several labels of a document count as several rows. Without positives or unlabelled rows
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, mix64
 
-SAMPLE, HIDDEN, EPOCHS, FOLDS, THRESHOLD = 20_000, 24, 40, 5, 0.3
+SAMPLE, HIDDEN, EPOCHS, FOLDS, THRESHOLD, BUCKETS = 20_000, 24, 40, 5, 0.3, 1 << 14
 _SYMBOLS, _DIGITS, _UPPER, _ENDS, _SPACE = b"#*$%&<>|", b"0123456789", bytes(range(65, 91)), b".!?", b" \t\n\r\x0b\f"
-N_FEATURES = 16
+N_RATES = 16
+N_FEATURES = N_RATES + 3
 _words = WordHash()
 
 
@@ -55,11 +58,54 @@ def describe(text: bytes | None) -> list[float]:
     ]
 
 
+def grams(text: bytes) -> np.ndarray:
+    """The distinct buckets of the words, pairs of words and runs of four bytes of a text, each kind in a range of its own."""
+    h = _words.of(text.lower().split())
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    runs = np.zeros(0, np.uint64) if len(x) < 4 else mix64(x[:-3] | x[1:-2] << np.uint64(8) | x[2:-1] << np.uint64(16) | x[3:] << np.uint64(24))
+    kinds = (h, mix64(h[:-1]) + h[1:], runs)
+    there = np.zeros(3 * BUCKETS, bool)
+    for k, v in enumerate(kinds):
+        there[(v >> np.uint64(20)) % np.uint64(BUCKETS) + np.uint64(k * BUCKETS)] = True
+    return np.flatnonzero(there)
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, good, all) of a partition; bucket -1 counts the rows."""
+    n = np.zeros((2, 3 * BUCKETS + 1), np.int64)
+    for b in batches:
+        for t, good in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
+            g = np.append(grams(t.as_py() or b""), 3 * BUCKETS)
+            n[1, g] += 1
+            if good:
+                n[0, g] += 1
+    at = np.flatnonzero(n[1])
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(at == 3 * BUCKETS, -1, at), pa.int64()), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "good", "n"])
+
+
+def learn_odds(rows: DataFrame) -> np.ndarray:
+    """Log odds of every bucket among good rows against all; rows is (text, good). Collects a row per bucket, 3 * BUCKETS at most."""
+    t = rows.mapInArrow(_presence, "bucket long, good long, n long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toArrow()
+    n = np.zeros((2, 3 * BUCKETS + 1), np.int64)  # bucket -1 is the last
+    n[0, t["bucket"].to_numpy()], n[1, t["bucket"].to_numpy()] = t["good"].to_numpy(), t["n"].to_numpy()
+    share = (n[0, -1] + 1) / (n[1, -1] + 2)
+    odds = np.log((n[0] + share) / ((n[1] + 1) * share))  # 0 for a bucket that no row has
+    return odds[:-1].astype(np.float32)
+
+
+def inputs(text: bytes | None, odds: np.ndarray) -> list[float]:
+    """The rates of a text and the mean log odds of its words, pairs and byte runs; 0 where it has none."""
+    g = grams(text or b"")
+    kind = g // BUCKETS
+    n = np.bincount(kind, minlength=3)
+    return [*describe(text), *(np.bincount(kind, odds[g], 3) / np.maximum(1, n)).tolist()]
+
+
 class Network:
     """tanh hidden layer, one output; the score is its logistic."""
 
-    def __init__(self, prior: float):
-        self.prior, self.mean, self.scale, self.w = prior, None, None, None
+    def __init__(self, prior: float, odds: np.ndarray):
+        self.prior, self.odds, self.mean, self.scale, self.w = prior, odds, None, None, None
 
     def fit(self, pos: np.ndarray, unl: np.ndarray, seed: int = 3) -> Network:
         if not len(pos) or not len(unl):
@@ -104,27 +150,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([describe(t.as_py()) for t in b.column(0).cast(pa.binary())], pa.list_(pa.float64()))], ["x"])
-
+def _collect(docs: DataFrame, odds: np.ndarray) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([inputs(t.as_py(), odds) for t in b.column(0).cast(pa.binary())], pa.list_(pa.float64()))], ["x"])
 
-def _collect(docs: DataFrame) -> np.ndarray:
-    rows = docs.select("text").mapInArrow(_features, "x array<double>").toArrow()["x"].to_pylist()
+    rows = docs.select("text").mapInArrow(run, "x array<double>").toArrow()["x"].to_pylist()
     return np.array(rows, float).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on samples of the training folds; their sizes are bounded by 1.2 * SAMPLE rows."""
+    """Fit on samples of the training folds; their sizes are bounded by 1.2 * SAMPLE rows each, the smallest hashes first."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     n1, n0 = (known.agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("quality") != 1).cast("long")), F.lit(0))).first())
-    share = lambda n: F.pmod(F.xxhash64(F.lit("pu"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n)))
-    cap = int(1.2 * SAMPLE)
-    good = known.where((F.col("quality") == 1) & share(n1)).select(F.col("doc_id").alias("_good")).limit(cap)
-    pos = docs.join(F.broadcast(good), F.col("doc_id") == F.col("_good"))
-    open_ = docs.where(~held_out(F.col("doc_id")))
-    unl = open_.where(share(open_.count())).limit(cap)
-    return Network((n1 + 1) / (n1 + n0 + 2)).fit(_collect(pos), _collect(unl))
+    good = known.where("quality = 1").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.lit(1).alias("good"))
+    open_ = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), "text").join(good, "id", "left").select("id", "text", F.coalesce("good", F.lit(0)).alias("good"))
+    n, m = open_.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    odds = learn_odds(open_.select("text", "good"))
+    h = F.xxhash64(F.lit("pu"), "id", "text")
+    share = lambda k: F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, k)))
+    some = lambda df, k: df.where(share(k)).orderBy(h).limit(int(1.2 * SAMPLE))
+    return Network((n1 + 1) / (n1 + n0 + 2), odds).fit(_collect(some(open_.where("good = 1"), m), odds), _collect(some(open_, n), odds))
 
 
 def scores(docs: DataFrame, net: Network) -> DataFrame:
@@ -132,7 +178,7 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([describe(t.as_py()) for t in b.column(1).cast(pa.binary())], float).reshape(-1, N_FEATURES)
+            x = np.array([inputs(t.as_py(), net.odds) for t in b.column(1).cast(pa.binary())], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(x), pa.float64())], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

@@ -23,6 +23,7 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -94,12 +95,15 @@ def revisit(name: str, url: str, size: int, sha: str, refers_to: int) -> bytes:
 
 
 def _write(path: str, archive: int):
+    write = uuid.uuid4().hex[:12]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         where, root = fs.FileSystem.from_uri(path)
         task = TaskContext.get()
         pid, part, made, buffer, size, i = task.partitionId(), 0, [], [], 0, 0
+        own = f"{write}-{task.taskAttemptId()}"  # ids are of one attempt of one write
 
         def close():
             nonlocal part, size
@@ -114,7 +118,7 @@ def _write(path: str, archive: int):
         for b in batches:
             for page, url, html, winner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3).to_pylist()):
                 payload = html.as_py() or b""
-                sha, name = digest(payload), f"urn:page:{page}:{pid}-{i}"
+                sha, name = digest(payload), f"urn:page:{page}:{own}-{i}"
                 records = [revisit(name, url or "", len(payload), sha, winner)] if winner is not None else response(name, url or "", payload, sha)
                 i += 1
                 for r in records:  # a segment may go to the next archive

@@ -249,6 +249,17 @@ def test_rare_links_beyond_the_sample(spark, monkeypatch):
     assert all(got[i] <= n for i, n in enumerate(links.sum(1)))
 
 
+def test_trees_of_links():
+    r = np.random.default_rng(8)
+    for k in (0, 5, 60, 400):
+        u, v = r.integers(0, 200, k), r.integers(0, 200, k)
+        root = np.arange(200)
+        for at in range(0, k, 37):
+            multi_index.unite(root, u[at : at + 37], v[at : at + 37])
+        want = union_find(list(zip(u.tolist(), v.tolist())))
+        assert root.tolist() == [min((x for x in want if want[x] == want[i]), default=i) if i in want else i for i in range(200)]
+
+
 def test_visits_and_their_test_agree():
     r = np.random.default_rng(9)
     x = np.round(r.normal(size=(400, 6)))  # many equal distances
@@ -322,6 +333,20 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 3}" + "x" * 40_000) for i in range(9)], "page_id long, url string, html string")
+    files = warc.write_archives(pages, f"file://{tmp_path}/a", archive=1000)
+    again = warc.write_archives(pages, f"file://{tmp_path}/a", archive=1000)
+    (tmp_path / "a" / "part-000000-000000-99999.warc.gz").write_bytes(b"broken off")
+    assert not {r.path for r in files.collect()} & {r.path for r in again.collect()}
+    for f in (files, again):
+        got = warc.read_archives(spark, f).collect()
+        assert sorted(g.page_id for g in got) == list(range(9)) and all(g.intact for g in got)
+        assert sum(g.record_type == "response" for g in got) == 3
+    (tmp_path / "a" / "part-000000-000000-99999.warc.gz").unlink()
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == 18
+
+
 def test_chunks_and_broken_segments():
     body = bytes(range(256)) * 100
     assert warc.dechunked(warc.chunked(body, 999)) == body
@@ -450,6 +475,21 @@ def test_pu_quality(spark, docs, empty):
     assert pu_quality.scores(empty, none).count() == 0
 
 
+def test_grams_are_counted_over_all_rows(spark):
+    """Presence of hashed words, pairs and byte runs in positives and in the rest, against a plain count."""
+    rows = [(i, prose(R.randint(0, 30)) if i % 9 else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    good = {i for i in range(0, 60, 3)}
+    flag = (pu_quality.F.col("doc_id") % 3 == 0).cast("int")
+    odds = pu_quality.learn_odds(d.select("text", flag.alias("good")))
+    n = [collections.Counter(), collections.Counter()]
+    for i, t in rows:
+        n[i in good].update(set(pu_quality.grams((t or "").encode()).tolist()))
+    for g in range(len(odds)):
+        want = math.log((n[1][g] + 21 / 62) / (n[0][g] + n[1][g] + 1) / (21 / 62))  # 20 of 60 are good
+        assert odds[g] == pytest.approx(want, abs=1e-5)
+
+
 def test_repeated_passages_of_any_length_and_place():
     at = 13
     assert pu_quality.describe(" ".join(map(str, range(50_000))).encode())[at] == 0
