@@ -3,7 +3,7 @@
 A network of one hidden layer minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Its inputs are
 rates of a text (symbols, case, repetition and the like) and what its words, pairs of words and runs of four bytes say: each is
 hashed into one of BUCKETS, and the log ratio of a bucket's share of positives to that of all rows, counted over all training rows,
-are averaged over the buckets of the text. Positives are trusted rows (quality 1), the unlabelled rows any web text; the class
+are averaged over the buckets of the text (of a text that was counted, without itself). Positives are trusted rows (quality 1), the unlabelled rows any web text; the class
 prior is the share of quality 1 among the labelled training rows. Labels are read only of rows outside the held-out fold;
 labels, lang, source and doc_id are no inputs. The network is fitted on a bounded sample, at most 1.2 * SAMPLE positives and as
 many unlabelled rows, taken by a hash of doc_id and text; everything is scored.
@@ -83,28 +83,40 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.where(at == 3 * BUCKETS, -1, at), pa.int64()), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "good", "n"])
 
 
-def learn_odds(rows: DataFrame) -> np.ndarray:
-    """Log odds of every bucket among good rows against all; rows is (text, good). Collects a row per bucket, 3 * BUCKETS at most."""
+class Odds:
+    """Log ratios of every bucket's share of good rows to that of all rows; 0 for a bucket that no row has."""
+
+    def __init__(self, good: np.ndarray, n: np.ndarray, rows: tuple[int, int]):
+        self.good, self.n, self.share = good, n, (rows[0] + 1) / (rows[1] + 2)
+        self.table = np.log((good + self.share) / ((n + 1) * self.share))
+
+    def of(self, g: np.ndarray, own: int | None = None) -> np.ndarray:
+        """For buckets of a text; own says that it was counted, and as good (1) or not (0): then it is taken out first."""
+        if own is None:
+            return self.table[g]
+        return np.log((self.good[g] - own + self.share) / (self.n[g] * self.share))
+
+
+def learn_odds(rows: DataFrame) -> Odds:
+    """Odds of rows, (text, good). Collects a row per bucket, 3 * BUCKETS at most."""
     t = rows.mapInArrow(_presence, "bucket long, good long, n long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toArrow()
     n = np.zeros((2, 3 * BUCKETS + 1), np.int64)  # bucket -1 is the last
     n[0, t["bucket"].to_numpy()], n[1, t["bucket"].to_numpy()] = t["good"].to_numpy(), t["n"].to_numpy()
-    share = (n[0, -1] + 1) / (n[1, -1] + 2)
-    odds = np.log((n[0] + share) / ((n[1] + 1) * share))  # 0 for a bucket that no row has
-    return odds[:-1].astype(np.float32)
+    return Odds(n[0, :-1], n[1, :-1], (int(n[0, -1]), int(n[1, -1])))
 
 
-def inputs(text: bytes | None, odds: np.ndarray) -> list[float]:
+def inputs(text: bytes | None, odds: Odds, own: int | None = None) -> list[float]:
     """The rates of a text and the mean log odds of its words, pairs and byte runs; 0 where it has none."""
     g = grams(text or b"")
     kind = g // BUCKETS
     n = np.bincount(kind, minlength=3)
-    return [*describe(text), *(np.bincount(kind, odds[g], 3) / np.maximum(1, n)).tolist()]
+    return [*describe(text), *(np.bincount(kind, odds.of(g, own), 3) / np.maximum(1, n)).tolist()]
 
 
 class Network:
     """tanh hidden layer, one output; the score is its logistic."""
 
-    def __init__(self, prior: float, odds: np.ndarray):
+    def __init__(self, prior: float, odds: Odds):
         self.prior, self.odds, self.mean, self.scale, self.w = prior, odds, None, None, None
 
     def fit(self, pos: np.ndarray, unl: np.ndarray, seed: int = 3) -> Network:
@@ -150,13 +162,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _collect(docs: DataFrame, odds: np.ndarray) -> np.ndarray:
+def _collect(rows: DataFrame, odds: Odds) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([inputs(t.as_py(), odds) for t in b.column(0).cast(pa.binary())], pa.list_(pa.float64()))], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([inputs(t.as_py(), odds, own) for t, own in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist())], pa.list_(pa.float64()))], ["x"])
 
-    rows = docs.select("text").mapInArrow(run, "x array<double>").toArrow()["x"].to_pylist()
-    return np.array(rows, float).reshape(-1, N_FEATURES)
+    got = rows.select("text", "good").mapInArrow(run, "x array<double>").toArrow()["x"].to_pylist()
+    return np.array(got, float).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:

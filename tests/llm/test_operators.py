@@ -485,9 +485,10 @@ def test_grams_are_counted_over_all_rows(spark):
     n = [collections.Counter(), collections.Counter()]
     for i, t in rows:
         n[i in good].update(set(pu_quality.grams((t or "").encode()).tolist()))
-    for g in range(len(odds)):
+    ratio = odds.of(np.arange(3 * pu_quality.BUCKETS))
+    for g in range(len(ratio)):
         want = math.log((n[1][g] + 21 / 62) / (n[0][g] + n[1][g] + 1) / (21 / 62))  # 20 of 60 are good
-        assert odds[g] == pytest.approx(want, abs=1e-5)
+        assert ratio[g] == pytest.approx(want, abs=1e-9)
 
 
 def test_repeated_passages_of_any_length_and_place():
