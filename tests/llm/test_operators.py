@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import extract, minhash, mixing, multi_index, packing, pitman_yor, pu_quality, quality_rules, run_index, warc
@@ -97,19 +98,28 @@ def test_language_model(docs, empty):
 def test_contexts_are_whole_words(spark):
     """Words with one ending are contexts of their own, in one partition: what follows each is nearly certain."""
     words = ["walking", "talking", "king", "looking"]
-    c, w = pitman_yor.tokens(" ".join(f"{x} then" for x in words).encode())
-    assert len(set(c.tolist())) == len(words) + 2 and c[0] == 0 and w[-1] == pitman_yor.END
-    assert len({int(x) >> 40 for x in c[1::2]}) == 1 and len({int(x) for x in c[1::2]}) == len(words)
+    c, w, at, sizes = pitman_yor.pairs_of(pa.array([" ".join(f"{x} then" for x in words), None]))
+    c, w = c[at], w[at]
+    assert len(set(c.tolist())) == len(words) + 2 and c[0] == c[-1] == 0 and w[-1] == w[-2] == pitman_yor.END and sizes.tolist() == [9, 1]
+    assert len({int(x) >> 40 for x in c[1:-1:2]}) == 1 and len({int(x) for x in c[1:-1:2]}) == len(words)
     rows = [(i, " ".join(f"{a} next{k}" for k, a in enumerate(words)), "x") for i in range(400)]
     got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(g.score / g.n_tokens > -0.05 for g in got)
 
 
-def test_lexicon_forgets_within_its_bound():
-    few, many = pitman_yor.Lexicon(7), pitman_yor.Lexicon()
-    words = [b"w%d" % (i * i % 23) for i in range(100)]
-    for x, y in zip(few.of(words), many.of(words)):
-        assert (x == y).all() and len(x) == 100
+def test_words_of_many_texts():
+    texts_ = [t for t in texts() if t is None or len(t) < 20_000] + [" a", "a ", "\n\x0b\x0cB\tÀb\r", "\x1fa\x85b\u00a0c"]
+    c, w, at, sizes = pitman_yor.pairs_of(pa.array(texts_, pa.string()))
+    end = 0
+    for t, n in zip(texts_, sizes.tolist()):
+        words = (t or "").encode().lower().split()
+        own = [pitman_yor.xxhash.xxh3_64_intdigest(x) for x in words]
+        assert w[at[end : end + n]].tolist() == [*own, pitman_yor.END]
+        low = c[at[end : end + n]].tolist()
+        assert low[0] == 0 and [x & (1 << 40) - 1 for x in low[1:]] == [x & (1 << 40) - 1 for x in own]
+        assert [x >> 40 for x in low[1:]] == [pitman_yor.xxhash.xxh3_64_intdigest(x[-3:]) >> 40 for x in words]
+        end += n
+    assert end == len(at)
 
 
 @pytest.mark.parametrize("few", [1, 64, 10_000])
@@ -638,8 +648,6 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_minhash_pair_leaves_by_one_bucket():
     """A pair over the threshold leaves by exactly one of the buckets that it shares, also where sketches agree by chance."""
-    import pyarrow as pa
-
     r = np.random.default_rng(7)
     left_out = 0
     for _ in range(150):
