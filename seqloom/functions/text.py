@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The residue alphabet and the three-letter codes.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWYX"
 THREE_TO_ONE = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M",
-    "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "SEC": "U", "PYL": "O", "ASX": "B", "GLX": "Z", "XLE": "J", "UNK": "X",
+    "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+    "ASX": "B", "GLX": "Z", "SEC": "U", "PYL": "O", "UNK": "X", "MSE": "M",
 }
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,15 +50,42 @@ def header_parts(header: Column, fallback: Column) -> dict[str, Column]:
 
 
 def eta(seconds: Column) -> Column:
-    """h:mm:ss, or m:ss under an hour."""
-    s = F.floor(F.greatest(seconds, F.lit(0)))
+    """1h05m, 1m05s or 7s, cut down to whole seconds; a question mark for a negative time."""
+    s = F.floor(seconds)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
+    long = F.when(h > 0, F.format_string("%dh%02dm", h, m)).when(m > 0, F.format_string("%dm%02ds", m, s % 60))
+    return F.when(seconds < 0, "?").otherwise(F.coalesce(long, F.format_string("%ds", s)))
+
+
+def json_text(c: Column) -> Column:
+    """A string in JSON, in ASCII only: short escapes, \\uXXXX for other control and non-ASCII characters, pairs beyond 16 bits."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n.cast("long"))), 4, "0"))
+
+    def one(x: Column) -> Column:
+        n = F.ascii(x)
+        out = F.when(n > 0xFFFF, F.concat(code(F.lit(0xD800) + F.floor((n - 0x10000) / 1024)), code(F.lit(0xDC00) + (n - 0x10000) % 1024)))
+        for short, value in (("b", 8), ("t", 9), ("n", 10), ("f", 12), ("r", 13)):
+            out = out.when(n == value, F.lit("\\" + short))
+        return out.when((n < 32) | (n > 127), code(n)).otherwise(x)
+
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    other = F.array_join(F.transform(F.filter(F.split(plain, ""), lambda x: x != ""), one), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[^\x20-\x7F]"), other).otherwise(plain), F.lit('"'))
 
 
 def ops_json(ops: Column) -> Column:
     """Edit operations as the JSON of ragged lists: strings quoted, positions bare."""
-    escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    quote = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
-    item = lambda o: F.concat(F.lit("["), F.concat_ws(", ", quote(o["op"]), quote(o["a"]), quote(o["b"]), o["pos"].cast("string")), F.lit("]"))
+    item = lambda o: F.concat(F.lit("["), F.concat_ws(", ", json_text(o["op"]), json_text(o["a"]), json_text(o["b"]), o["pos"].cast("string")), F.lit("]"))
     return F.concat(F.lit("["), F.concat_ws(", ", F.transform(ops, item)), F.lit("]"))
+
+
+def dense(df: DataFrame, out: str, order: list[str], bucket: Column) -> DataFrame:
+    """df with out, the place of each row from 0 in the order of columns. bucket must not fall in that order.
+
+    Buckets are counted, their counts summed up in one small table, and rows numbered inside each bucket, so that no task
+    holds more than the table of buckets or one bucket."""
+    d = df.withColumn("_bucket", bucket)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = d.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    return d.withColumn("_inside", inside).join(start, "_bucket").withColumn(out, (F.col("_before") + F.col("_inside")).cast("int")).drop("_bucket", "_inside", "_before")

@@ -114,13 +114,15 @@ def smooth(x: np.ndarray, reach: int) -> np.ndarray:
 class Predictor:
     """Scores of whole sequences from a matrix {aa: {aa: e}} and a histogram (lo, hi, step, bins)."""
 
-    def __init__(self, matrix: dict[str, dict[str, float]], histogram: tuple[float, float, float, list[float]], composition: dict[str, float] | None = None):
-        self.names = sorted({b for r in matrix.values() for b in r})
+    def __init__(self, matrix: dict[str, dict[str, float]], histogram: tuple[float, float, float, list[float]], composition: dict[str, float] | None = None, binding: dict[str, dict[str, float]] | None = None):
+        """binding is the matrix of the binding scores, which need the composition of the partner too."""
+        self.names = sorted({b for m in (matrix, binding or {}) for r in m.values() for b in r} | set(composition or {}))
         at = {b: i for i, b in enumerate(self.names)}
-        self.rows = {a: np.array([r.get(b, 0.0) for b in self.names]) for a, r in matrix.items()}
+        self.rows, self.binding = ({a: np.array([r.get(b, 0.0) for b in self.names]) for a, r in m.items()} for m in (matrix, binding or matrix))
         self.at, self.histogram, self.composition = at, histogram, composition or {}
 
-    def energy(self, seq: str, reach: int) -> np.ndarray:
+    def energy(self, seq: str, reach: int, rows: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        rows = self.rows if rows is None else rows
         n = len(seq)
         hot = np.zeros((n + 1, len(self.names)))
         for i, c in enumerate(seq):
@@ -129,16 +131,22 @@ class Predictor:
         sums, i = hot.cumsum(0), np.arange(n)
         lo, a, b, hi = np.maximum(0, i - reach), np.maximum(0, i - 1), np.minimum(n, i + 2), np.minimum(n, i + reach + 1)
         counts, size = sums[a] - sums[lo] + sums[hi] - sums[b], (a - lo) + (hi - b)
-        own = np.array([self.rows.get(c, np.zeros(len(self.names))) for c in seq]).reshape(n, -1)
+        own = np.array([rows.get(c, np.zeros(len(self.names))) for c in seq]).reshape(n, len(self.names))
         return np.where(size > 0, (counts * own).sum(1) / np.maximum(1, size), 0.0)
 
-    def score(self, seq: str, mode: str = "long", smoothing: str = "medium") -> np.ndarray:
+    def smoothed(self, seq: str, mode: str = "long") -> np.ndarray:
         reach, width = MODES.get(mode, MODES["long"])
         e = self.energy(seq, reach)
         if mode == "short":
-            w = np.convolve(np.pad(e, width, constant_values=EDGE), np.ones(2 * width + 1), "valid") / (2 * width + 1)
-        else:
-            w = smooth(e, width)
+            return np.convolve(np.pad(e, width, constant_values=EDGE), np.ones(2 * width + 1), "valid") / (2 * width + 1)
+        return smooth(e, width)
+
+    def run(self, seq: str, mode: str = "long", smoothing: str = "medium") -> tuple[np.ndarray, str]:
+        """Scores, and in mode glob the report of globular domains, else the empty string."""
+        return self.score(seq, mode, smoothing), globular_text(seq, domains(self.smoothed(seq, mode))) if mode == "glob" else ""
+
+    def score(self, seq: str, mode: str = "long", smoothing: str = "medium") -> np.ndarray:
+        w = self.smoothed(seq, mode)
         lo, hi, step, bins = self.histogram
         k = np.clip(((w - lo) * (1 / step)).astype(int), 0, len(bins) - 1)
         s = np.where(w <= lo + 2 * step, 1.0, np.where(w >= hi - 2 * step, 0.0, np.asarray(bins)[k]))
@@ -153,8 +161,8 @@ class Predictor:
         """Binding-region scores. Windows 41, 30 and 5; 0.0013, 0.26, 0.43; 22.97968 and 0.0116."""
         a, b, c = 0.0013, 0.26, 0.43
         face = np.array([self.composition.get(x, 0.0) for x in self.names])
-        own = np.array([self.rows.get(x, np.zeros(len(self.names))) for x in seq]).reshape(len(seq), -1)
-        gain = smooth(smooth(self.energy(seq, 41) - own @ face, 5), 5)
+        own = np.array([self.binding.get(x, np.zeros(len(self.names))) for x in seq]).reshape(len(seq), len(self.names))
+        gain = smooth(smooth(self.energy(seq, 41, self.binding) - own @ face, 5), 5)
         d = smooth(self.score(seq, "long", "none"), 30)
         with np.errstate(divide="ignore"):
             extra = np.where((d > c - a / b) & (gain < 0), a / (d - c) + b, 0.0)
@@ -187,23 +195,47 @@ def redox_regions(redox: np.ndarray, plain: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
+def domains(smoothed: np.ndarray, threshold: float = 0.3, gap: int = 45, least: int = 35) -> list[tuple[int, int]]:
+    """What globular() finds, for one array."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.asarray(smoothed) > threshold).astype(int), [0]])))
+    out: list[list[int]] = []
+    for lo, hi in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()):
+        if out and lo - out[-1][1] < gap:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out if hi - lo + 1 >= least]
+
+
 def globular_text(seq: str, domains: list[tuple[int, int]]) -> str:
-    """Domains in a report: their number and places from 1, then the sequence, upper case inside them, in blocks of 10."""
+    """Domains in a report: their number and places from 1, then the sequence, upper case inside them, in blocks of 10 and
+    lines of at most 70 characters. Fixed values: the wording and its spaces."""
     inside = np.zeros(len(seq), bool)
     for lo, hi in domains:
         inside[lo : hi + 1] = True
     shown = "".join(c.upper() if f else c.lower() for c, f in zip(seq, inside))
     blocks = [shown[i : i + 10] for i in range(0, len(shown), 10)]
-    lines = [" ".join(blocks[i : i + 7]) for i in range(0, len(blocks), 7)]
-    head = [f"Number of globular domains: {len(domains)}", *(f"  domain {k}  {lo + 1} - {hi + 1}" for k, (lo, hi) in enumerate(domains, 1))]
-    return "\n".join([*head, *lines])
+    head = f"Number of globular domains: {len(domains)}\n" + "".join(f"          globular domain   {k}.\t{lo + 1}-{hi + 1}\n" for k, (lo, hi) in enumerate(domains, 1))
+    return head + "\n".join(" ".join(blocks[i : i + 6]) for i in range(0, len(blocks), 6))
+
+
+def score_lines(seq: str, scores: np.ndarray, binding: np.ndarray | None = None) -> list[str]:
+    """A line per residue: its place from 1, the residue, and the scores with four decimals, between tabs."""
+    columns = [scores] if binding is None else [scores, binding]
+    return ["\t".join([str(i), c, *(f"{x[i - 1]:.4f}" for x in columns)]) for i, c in enumerate(seq, 1)]
 
 
 def score_column(predictor: Predictor, kind: str = "score", **how):
-    """A column function seq -> array<double>: score, redox or anchor."""
+    """A column function seq -> array<double>: score, redox or anchor; null for a sequence too short for its smoothing."""
+
+    def of(s: str | None):
+        try:
+            return None if s is None else getattr(predictor, kind)(s, **how).tolist()
+        except ValueError:
+            return None
 
     @F.pandas_udf("array<double>")
     def column(seq: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else getattr(predictor, kind)(s, **how).tolist() for s in seq])
+        return pd.Series([of(s) for s in seq], dtype=object)
 
     return column

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import dense
 from . import neighbors
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; one of our own only where it names none."""
+    """Cut lineage in the shared folder that the session names; one of our own only in local mode where it names none."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seqloom-"))
     return df.checkpoint()
 
 
 def step(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
     kept = seqs.join(pairs.select(F.col("idx1").alias("idx")).distinct(), "idx", "left_semi")
-    return kept.withColumn("idx", (F.row_number().over(Window.orderBy("idx")) - 1).cast("int"))
+    return dense(kept.withColumnRenamed("idx", "_old"), "idx", ["_old"], F.floor(F.col("_old") / 4096)).select(seqs.columns)
 
 
 def fixpoint(seqs: DataFrame, k: int = 12, m: int = 500, start: int = 1) -> DataFrame:

@@ -75,11 +75,17 @@ def bounded(a: Column, b: Column, limit: Column) -> Column:
 def directed(seqs: DataFrame, k: int, m: int, df_max: int | None = None) -> DataFrame:
     """Per sequence: idx, id, best_idx, best_id, lev, candidates_examined, score."""
     c = candidates(seqs, k, m, df_max)
-    side = lambda x: seqs.select(F.col("idx").alias(x), F.col("seq").alias(f"s{x}"), F.length("seq").alias(f"l{x}"))
-    d = c.join(side("q"), "q").join(side("t"), "t").select("q", "t", "score", "place", F.levenshtein("sq", "st").alias("lev"), F.abs(F.col("lq") - F.col("lt")).alias("gap"))
+    side = lambda x: seqs.select(F.col("idx").alias(x), F.col("seq").alias(f"s{x}"))
+    size = lambda x: seqs.select(F.col("idx").alias(x), F.length("seq").alias(f"l{x}"))
+    c = c.join(size("q"), "q").join(size("t"), "t").withColumn("gap", F.abs(F.col("lq") - F.col("lt")))
+    # the first candidate in full; of the others only those whose lengths allow less, up to one less than the first
+    first = c.where("place = 1").join(side("q"), "q").join(side("t"), "t").select("q", "t", "score", "place", F.levenshtein("sq", "st").alias("lev"), "gap")
+    more = c.where("place > 1").join(first.select("q", F.col("lev").alias("top")), "q").where("gap < top").join(side("q"), "q").join(side("t"), "t")
+    lev = F.expr("levenshtein(sq, st, top - 1)")
+    d = first.union(more.select("q", "t", "score", "place", F.when(lev >= 0, lev).alias("lev"), "gap"))
     before = F.min("lev").over(Window.partitionBy("q").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("seen", (before.isNull() | (F.col("gap") < before)).cast("int"))
-    best = d.groupBy("q").agg(F.min(F.struct("lev", "place", "t", "score")).alias("b"), F.sum("seen").alias("candidates_examined"))
+    best = d.groupBy("q").agg(F.min(F.when(F.col("lev").isNotNull(), F.struct("lev", "place", "t", "score"))).alias("b"), F.sum("seen").alias("candidates_examined"))
     ids = seqs.select("idx", "id")
     best = best.select(F.col("q").alias("idx"), F.col("b.t").alias("best_idx"), "b.lev", F.col("candidates_examined").cast("int"), F.col("b.score").cast("int").alias("score"))
     return best.join(ids, "idx").join(ids.select(F.col("idx").alias("best_idx"), F.col("id").alias("best_id")), "best_idx").select("idx", "id", "best_idx", "best_id", "lev", "candidates_examined", "score")
@@ -98,4 +104,6 @@ def find_pairs(seqs: DataFrame, k: int = 4, m: int = 500, df_max: int | None = N
     check(n, m, k)
     found = directed(seqs, k, m, df_max)
     total = seqs.agg(F.sum(F.greatest(F.length("seq") - k + 1, F.lit(0)))).first()[0] or 0
+    if not total:
+        raise ValueError(f"no sequence has {k} residues")
     return pairs(seqs, found), found, {"n_sequences": n, "total_kmers": total, "k": k, "M": min(m, n - 1), "df_max": df_max or default_df_max(n)}

@@ -72,23 +72,83 @@ def file_name(idx: Column, name: Column) -> Column:
     return F.concat(F.format_string("%08d_", idx), sanitize(name), F.lit(".pdb"))
 
 
-def sampled(rows: DataFrame, predict: Callable[[str, int], np.ndarray], samples: int = 5, seed: int = 12345, threshold: float = 2.0) -> DataFrame:
-    """(seq_id, status, rmsd, details): samples structures of each seq by predict(seq, seed) -> CA coordinates, and keeps
-    those of which no sample is farther than the threshold from the first. One failure fails its row alone."""
+def ca_atoms(pdb: str) -> list[list[list[np.ndarray | None]]]:
+    """Models, chains and residues of PDB text in order, each residue by the place of its CA atom, or None without one."""
+    models: list[dict] = [{}]
+    for line in pdb.splitlines():
+        if line.startswith("MODEL") and models[-1]:
+            models.append({})
+        elif line.startswith(("ATOM", "HETATM")):
+            residue = models[-1].setdefault(line[21:22], {})
+            key = line[17:20] if line.startswith("HETATM") else "", line[22:27]
+            residue.setdefault(key, None)
+            if line[12:16].strip() == "CA" and residue[key] is None:
+                residue[key] = np.array([float(line[i : i + 8]) for i in (30, 38, 46)])
+    return [[list(c.values()) for c in m.values()] for m in models]
+
+
+def pdb_rmsd(a: str, b: str) -> float:
+    """RMSD of the CA atoms of two structures, paired by model, chain and residue where both have one; infinite for none."""
+    both = [(x, y) for m, n in zip(ca_atoms(a), ca_atoms(b)) for c, d in zip(m, n) for x, y in zip(c, d) if x is not None and y is not None]
+    return kabsch_rmsd(*(np.array(z) for z in zip(*both))) if both else float("inf")
+
+
+FATAL = "fatal"
+
+
+def sampled(rows: DataFrame, predict: Callable | None, samples: int = 5, seed: int = 12345, threshold: float = 2.0, make: Callable[[], Callable] | None = None) -> DataFrame:
+    """(seq_id, status, rmsd, details, structure): samples structures of each seq by predict(seq, seed) -> CA coordinates or PDB
+    text, and keeps those of which no sample is farther than the threshold from the first (structure is its text, if it is
+    one). One failure fails its row alone. make, if given, loads the model once per task; if that fails, the task's rows are
+    left out and one row tells so: no seq_id, status fatal."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["seq_id", "status", "rmsd", "details", "structure"]
+        try:
+            model = make() if make else predict
+        except Exception as e:  # the model is foreign code
+            yield pd.DataFrame([("", FATAL, float("inf"), f"{type(e).__name__}: {e}", None)], columns=columns)
+            return
         for t in batches:
             out = []
             for name, seq in zip(t.seq_id, t.seq):
                 try:
-                    s = [np.asarray(predict(seq, seed + k), float) for k in range(samples)]
-                    far = max([rmsd(s[0], x) for x in s[1:]], default=0.0)
-                    out.append((name, "ok" if far <= threshold else "bad_rmsd", far, None))
+                    s = [model(seq, seed + k) for k in range(samples)]
+                    far = max([pdb_rmsd(s[0], x) if isinstance(x, str) else rmsd(np.asarray(s[0], float), np.asarray(x, float)) for x in s[1:]], default=0.0)
+                    ok = far <= threshold
+                    out.append((name, "ok" if ok else "bad_rmsd", far, None, s[0] if ok and isinstance(s[0], str) else None))
                 except Exception as e:  # the predictor is foreign code; its error is the row's result
-                    out.append((name, "error", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["seq_id", "status", "rmsd", "details"])
+                    out.append((name, "error", float("inf"), f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows.select("seq_id", "seq").mapInPandas(work, "seq_id string, status string, rmsd double, details string, structure string")
 
-    return rows.select("seq_id", "seq").mapInPandas(work, "seq_id string, status string, rmsd double, details string")
+
+def folded(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 1) -> DataFrame:
+    """(idx, seq_id, status, name, content): the structures that a model gives for batches of sequences, with their file names.
+
+    rows: idx, seq_id, seq. An error fails the whole batch: status error, with the message as content. If the model cannot be
+    loaded, one row of the task says so: no seq_id, status fatal."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["idx", "seq_id", "status", "content"]
+        try:
+            model = make()
+        except Exception as e:  # the model is foreign code
+            yield pd.DataFrame([(-1, "", FATAL, f"{type(e).__name__}: {e}")], columns=columns)
+            return
+        for t in batches:
+            out = []
+            for at in range(0, len(t), max(1, batch)):
+                part = t.iloc[at : at + max(1, batch)]
+                try:
+                    out += zip(part.idx, part.seq_id, ["ok"] * len(part), model(part.seq.tolist()), strict=True)
+                except Exception as e:
+                    out += [(i, n, "error", f"{type(e).__name__}: {e}") for i, n in zip(part.idx, part.seq_id)]
+            yield pd.DataFrame(out, columns=columns)
+
+    got = rows.select(F.col("idx").cast("long"), "seq_id", "seq").mapInPandas(work, "idx long, seq_id string, status string, content string")
+    return got.withColumn("name", F.when(F.col("status") == "ok", file_name(F.col("idx"), F.col("seq_id"))))
 
 
 def rmsd(a: np.ndarray, b: np.ndarray) -> float:
@@ -109,7 +169,13 @@ def rmsd_column(a: Column, b: Column) -> Column:
 
 
 def split(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return results.where("status = 'ok'").select("seq_id", "rmsd"), results.where("status <> 'ok'")
+    """Kept and failed rows."""
+    return results.where("status = 'ok'").select("seq_id", "rmsd"), results.where("status <> 'ok'").select("seq_id", "status", "rmsd", "details")
+
+
+def four_decimals(rmsd: Column) -> Column:
+    """The text of an RMSD in tables: four decimals, inf for none."""
+    return F.when(rmsd == float("inf"), "inf").otherwise(F.format_string("%.4f", rmsd))
 
 
 def merge_levels(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ops_json
 from .disorder import Predictor
-from .editpath import SCHEMA, Limits, Path, _frame, run_validated
+from .editpath import SCHEMA, Exhausted, Expired, Limits, Path, _frame, run_validated
 
 
 @dataclass(frozen=True)
@@ -69,17 +69,32 @@ def validator(options: Options, predictor: Predictor | None, idx1: int, idx2: in
 
 
 def paths(pairs: DataFrame, predictor: Predictor | None = None, options: Options = Options()) -> DataFrame:
-    """located pairs -> with steps, ops, distance and status: found, not_found or invalid_index. Each pair is judged once."""
+    """located pairs -> with steps, ops, distance and status: found, not_found, timeout, node_limit (where limits.tell) or
+    invalid_index. Each pair is judged once.
+
+    Pairs are dealt out one by one, as the work of a pair is that of the product of its lengths."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = functools.lru_cache(10_000)(lambda s: predictor.metrics(s, options.threshold, mode=options.mode, smoothing=options.smoothing))
         for t in batches:
-            found = [Path(None, None, None) if pd.isna(a) or pd.isna(b) else run_validated(a, b, validator(options, predictor, int(i), int(j), cache), options.limits) for i, j, a, b in zip(t.idx1, t.idx2, t.a, t.b)]
-            yield pd.concat([t.reset_index(drop=True), _frame(found)], axis=1)
-
-    schema = ", ".join(f"{c} {k}" for c, k in pairs.dtypes) + ", " + SCHEMA
-    out = pairs.mapInPandas(work, schema)
-    return out.withColumn("status", F.when(invalid_index(), "invalid_index").when(F.col("steps").isNull(), "not_found").otherwise("found"))
+            found, late = [], []
+            for i, j, a, b in zip(t.idx1, t.idx2, t.a, t.b):
+                path, over = Path(None, None, None), None
+                try:
+                    if not pd.isna(a) and not pd.isna(b):
+                        path = run_validated(a, b, validator(options, predictor, int(i), int(j), cache), options.limits)
+                except Expired:
+                    over = "timeout"
+                except Exhausted:
+                    over = "node_limit"
+                found.append(path)
+                late.append(over)
+            yield pd.concat([t.reset_index(drop=True), _frame(found), pd.DataFrame({"late": pd.Series(late, dtype=object)})], axis=1)
+
+    schema = ", ".join(f"{c} {k}" for c, k in pairs.dtypes) + ", " + SCHEMA + ", late string"
+    spread = pairs.repartition(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("idx1", "idx2"))
+    out = spread.mapInPandas(work, schema)
+    return out.withColumn("status", F.when(invalid_index(), "invalid_index").when(F.col("late").isNotNull(), F.col("late")).when(F.col("steps").isNull(), "not_found").otherwise("found")).drop("late")
 
 
 def results(validated: DataFrame) -> DataFrame:
@@ -97,6 +112,14 @@ def status_counts(validated: DataFrame) -> DataFrame:
     return validated.groupBy("layer", "status").agg(F.count("*").alias("n"))
 
 
+def random_pair(pairs: DataFrame, seed: int = 0) -> DataFrame:
+    """One pair by chance; an error if there is none. The same for a seed, whatever the order of rows."""
+    p = pairs.orderBy(F.xxhash64(F.lit(seed), "idx1", "idx2"), "idx1", "idx2").limit(1)
+    if p.isEmpty():
+        raise ValueError("no pairs")
+    return p
+
+
 def farthest(pairs: DataFrame, max_lev: int = 0) -> DataFrame:
     """The first pair with the greatest distance under the limit; an error if there is none."""
     p = prefilter(pairs.where("lev is not null"), max_lev).orderBy(F.desc("lev"), "line_no").limit(1)

@@ -11,6 +11,8 @@ from ..functions import stats, text
 from ..operators import disorder, editpath, layers, neighbors, trajectory, validate
 
 K, M = 4, 20
+SEARCH = editpath.Limits(nodes=2_000, tell=True)  # a stated bound of these queries; pairs that hit it have a status of their own
+SHIFT = 0.35  # lifts the synthetic energies so that there are globular domains
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,23 +54,23 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "benchmark")
-    idx = (F.row_number().over(Window.orderBy("item_id")) - 1).cast("int")
-    return t.select(idx.alias("idx"), F.concat(F.lit("item"), "item_id").alias("id"), text.normalize(F.col("text")).alias("seq")).withColumn("len", F.length("seq"))
+    t = text.dense(table(spark, d, "benchmark"), "idx", ["item_id"], F.floor(F.col("item_id") / 4096))
+    return t.select("idx", F.concat(F.lit("item"), "item_id").alias("id"), text.normalize(F.col("text")).alias("seq")).withColumn("len", F.length("seq"))
 
 
-def matrix(spark: SparkSession) -> DataFrame:
+def matrix(spark: SparkSession, shift: float = 0.0) -> DataFrame:
     a = spark.createDataFrame([(c,) for c in text.ALPHABET], "aa1 string")
-    return a.crossJoin(a.select(F.col("aa1").alias("aa2"))).withColumn("e", ((F.ascii("aa1") * 31 + F.ascii("aa2") * 17) % 200 - 100) / 100.0)
+    return a.crossJoin(a.select(F.col("aa1").alias("aa2"))).withColumn("e", ((F.ascii("aa1") * 31 + F.ascii("aa2") * 17) % 200 - 100) / 100.0 + F.lit(shift))
 
 
 def histogram(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1.0, 1.0, 0.04, [i / 50 for i in range(50)])], "lo double, hi double, step double, bins array<double>")
 
 
-def predictor() -> disorder.Predictor:
-    m = {a: {b: ((ord(a) * 31 + ord(b) * 17) % 200 - 100) / 100.0 for b in text.ALPHABET} for a in text.ALPHABET}
-    return disorder.Predictor(m, (-1.0, 1.0, 0.04, [i / 50 for i in range(50)]), {a: 1 / 21 for a in text.ALPHABET})
+def predictor(shift: float = 0.0) -> disorder.Predictor:
+    m = {a: {b: ((ord(a) * 31 + ord(b) * 17) % 200 - 100) / 100.0 + shift for b in text.ALPHABET} for a in text.ALPHABET}
+    binding = {a: {b: ((ord(a) * 13 + ord(b) * 29) % 200 - 100) / 100.0 for b in text.ALPHABET} for a in text.ALPHABET}
+    return disorder.Predictor(m, (-1.0, 1.0, 0.04, [i / 50 for i in range(50)]), {a: 1 / 21 for a in text.ALPHABET}, binding)
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -95,9 +97,25 @@ def header_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", h.alias("header")).withColumns(text.header_parts(F.col("header"), F.lit(0))).drop("header")
 
 
-@query("select event_id, case when s >= 3600 then format('{:d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) else format('{:d}:{:02d}', s // 60, s % 60) end as eta from (select event_id, (event_id * 37)::bigint as s from events)")
+@query("select event_id, case when s < 0 then '?' when s >= 3600 then format('{:d}h{:02d}m', s // 3600, s % 3600 // 60) when s >= 60 then format('{:d}m{:02d}s', s // 60, s % 60) else format('{:d}s', s) end as eta from (select event_id, (event_id * 7 - 50)::bigint as s from events)")
 def format_eta(spark, d):
-    return table(spark, d, "events").select("event_id", text.eta(F.col("event_id") * 37).alias("eta"))
+    return table(spark, d, "events").select("event_id", text.eta(F.col("event_id") * 7 - 50).alias("eta"))
+
+
+_CODES = ["ALA", "MSE", "mse", " GLX ", "XLE", "SEC", "PYL", "ASX", "UNK", "HOH", "TRP", "tyr", "VAL", "GLU", "GLN", "ASN", "ASP", "LYS", ""]
+_ONE = "A M M Z X U O B X X W Y V E Q N D K X".split()
+
+
+@query(f"select n_nationkey, ({_ONE})[n_nationkey % {len(_ONE)} + 1] as aa from nation")
+def residue_codes(spark, d):
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("n_nationkey") % len(_CODES) + 1).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", text.one_letter(code).alias("aa"))
+
+
+@query("select conv_id, turn, json_quote(left(text, 300) || chr(9) || chr(34) || chr(92)) as quoted from conversations where not regexp_matches(left(text, 300), '[^\\x20-\\x7E\\n]')")
+def json_strings(spark, d):
+    t = F.substring("text", 1, 300)
+    return table(spark, d, "conversations").where(~t.rlike(r"[^\x20-\x7E\n]")).select("conv_id", "turn", text.json_text(F.concat(t, F.lit('\t"\\'))).alias("quoted"))
 
 
 # Aggregates
@@ -211,13 +229,13 @@ def _located(spark, d, pairs: DataFrame) -> DataFrame:
 @query()
 def pair_validation(spark, d):
     """Paths between nearest neighbours under the disorder predictor."""
-    options = validate.Options(prob=0.99, limits=editpath.Limits(nodes=2_000))
+    options = validate.Options(prob=0.99, limits=SEARCH)
     return validate.results(validate.paths(_located(spark, d, nn_pairs(spark, d)), predictor(), options))
 
 
 @query()
 def random_accept(spark, d):
-    v = validate.paths(_located(spark, d, nn_pairs(spark, d)), None, validate.Options(prob=0.999, limits=editpath.Limits(nodes=2_000)))
+    v = validate.paths(_located(spark, d, nn_pairs(spark, d)), None, validate.Options(prob=0.999, limits=SEARCH))
     return v.select("idx1", "idx2", "status", "distance")
 
 
@@ -247,7 +265,7 @@ def edit_path(spark, d):
 
 @query()
 def edit_path_validated(spark, d):
-    ok = editpath.path_column("validated", lambda: lambda s: "ee" not in s, editpath.Limits(nodes=20_000))
+    ok = editpath.path_column("validated", lambda: lambda s: "ee" not in s)
     return _names(spark, d).withColumn("p", ok(F.col("a"), F.col("b"))).select("a", "b", "p.*").withColumn("ops", text.ops_json(F.col("ops")))
 
 
@@ -290,15 +308,29 @@ def disorder_metrics(spark, d):
     return _round(disorder.metrics(_scored(spark, d), seqs(spark, d), "score", 0.5), "fraction", "mean").withColumn("longest", F.col("longest").cast("int"))
 
 
-@query(ENERGY + ", " + ISLANDS.format(src="sm", flag="smooth > -0.3") + ", n as (select *, coalesce((first - lag(last) over (partition by idx order by first) >= 45)::int, 1) as new from isl), g as (select *, sum(new) over (partition by idx order by first) as grp from n) select idx, min(first)::int as first, max(last)::int as last from g group by idx, grp having max(last) - min(first) + 1 >= 35")
+GLOB = ENERGY.replace("/ 100.0 as e", f"/ 100.0 + {SHIFT}::double as e").replace("10 preceding and 10 following", "15 preceding and 15 following") + ", " + ISLANDS.format(src="sm", flag="smooth > 0.3") + ", n as (select *, coalesce((first - lag(last) over (partition by idx order by first) >= 45)::int, 1) as new from isl), g as (select *, sum(new) over (partition by idx order by first) as grp from n), dom as (select idx, min(first)::int as first, max(last)::int as last from g group by idx, grp having max(last) - min(first) + 1 >= 35)"
+
+
+@query(GLOB + " select * from dom")
 def globular_islands(spark, d):
-    return disorder.merged(disorder.runs(_scored(spark, d), F.col("smooth") > -0.3), 45, 35)
+    return disorder.globular(disorder.scores(seqs(spark, d), matrix(spark, SHIFT), histogram(spark), "glob"))
+
+
+@query(GLOB + """, shown as (select l.idx, string_agg(case when dom.idx is null then lower(l.aa) else l.aa end || case when l.pos + 1 = length(seq) then '' when (l.pos + 1) % 60 = 0 then chr(10) when (l.pos + 1) % 10 = 0 then ' ' else '' end, '' order by l.pos) as shown
+  from long l join seqs using (idx) left join dom on dom.idx = l.idx and l.pos between dom.first and dom.last group by l.idx),
+head as (select idx, count(*) as n, string_agg(format('          globular domain   {}.{}{}-{}{}', place, chr(9), first + 1, last + 1, chr(10)), '' order by place) as lines from (select *, row_number() over (partition by idx order by first) as place from dom) group by idx)
+select idx, 'Number of globular domains: ' || coalesce(n, 0) || chr(10) || coalesce(lines, '') || coalesce(shown, '') as report from seqs left join head using (idx) left join shown using (idx)""")
+def globular_report(spark, d):
+    p = predictor(SHIFT)
+    report = F.udf(lambda s: p.run(s, "glob", "no")[1])
+    return seqs(spark, d).select("idx", report("seq").alias("report"))
 
 
 @query()
 def disorder_kernel(spark, d):
-    """Array scores with polynomial and strong smoothing, the redox pair and binding scores, as means."""
-    p, s = predictor(), seqs(spark, d).where("len >= 19")
+    """Array scores with polynomial and strong smoothing, the redox pair and binding scores, as means; null for sequences too
+    short for the polynomial."""
+    p, s = predictor(), seqs(spark, d)
     kinds = {"medium": ("score", {"smoothing": "medium"}), "strong": ("score", {"smoothing": "strong"}), "short": ("score", {"mode": "short", "smoothing": "no"}), "redox": ("redox", {"smoothing": "no"}), "anchor": ("anchor", {})}
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
     out = s.select("idx", *(disorder.score_column(p, k, **how)(F.col("seq")).alias(n) for n, (k, how) in kinds.items()))

@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_token, normalize
+from ..functions.text import dense, first_token, normalize
 
 
 def read(spark: SparkSession, path: str, normal: bool = True, strict: bool = False, default_id: str | None = None) -> DataFrame:
     """(idx, id, header, seq, len), idx being the ordinal of the record in its file's order.
 
     normal: residues are cleaned (strict: anything to clean is an error); else lines are only trimmed and joined.
-    An empty sequence or a missing id is an error under normal, as is a file without records."""
+    An empty sequence, a missing id or data before a file's first header is an error under normal."""
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    # the first record keeps its mark; the order of partitions is that of blocks in files
-    order = Window.orderBy("f", "b", "m")
+    # the first record of a file keeps its mark; the order of partitions is that of blocks in files
+    marked = F.col("value").rlike(r"^\s*>")
+    first = F.row_number().over(Window.partitionBy("f", "b").orderBy("m")) == 1
+    raw = raw.withColumn("headless", (F.col("b") == 0) & first & ~marked & (F.trim("value") != ""))
     rec = raw.withColumn("value", F.regexp_replace("value", r"^\s*>", "")).where(F.trim("value") != "")
+    rec = dense(rec, "idx", ["m"], F.struct("f", "b"))
     lines = F.split("value", "\r?\n")
     header = F.element_at(lines, 1)
     body = F.array_join(F.transform(F.slice(lines, 2, 1 << 30), F.trim), "")
     seq = normalize(body, strict) if normal else body
-    out = rec.select((F.row_number().over(order) - 1).cast("int").alias("idx"), first_token(header, default_id).alias("id"), F.trim(header).alias("header"), seq.alias("seq"))
+    out = rec.select("idx", "headless", first_token(header, default_id).alias("id"), F.trim(header).alias("header"), seq.alias("seq"))
     if normal:
-        bad = F.col("seq").isNull() | (F.col("seq") == "") | F.col("id").isNull()
+        bad = F.col("headless") | F.col("seq").isNull() | (F.col("seq") == "") | F.col("id").isNull()
         out = out.withColumn("seq", F.when(bad, F.raise_error(F.concat(F.lit("bad FASTA record "), F.coalesce("header", F.lit(""))))).otherwise(F.col("seq")))
-    return out.withColumn("len", F.length("seq"))
+    return out.drop("headless").withColumn("len", F.length("seq"))
 
 
 def last_by_header(records: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_stem, one_letter
+from ..functions.text import dense, file_stem, one_letter
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,4 +40,4 @@ def sequences(spark: SparkSession, path: str, hetatm: bool = True) -> DataFrame:
     s = seqres(text)
     all_ = s.union(atoms(text, hetatm).join(s.select("file").distinct(), "file", "left_anti")).where("seq <> ''")
     header = F.concat(file_stem(F.col("file")), F.lit("|chain:"), F.col("chain"))
-    return all_.select((F.row_number().over(Window.orderBy("file", "chain")) - 1).cast("int").alias("idx"), header.alias("id"), header.alias("header"), "seq", F.length("seq").alias("len"))
+    return dense(all_, "idx", ["chain"], F.col("file")).select("idx", header.alias("id"), header.alias("header"), "seq", F.length("seq").alias("len"))

@@ -85,3 +85,41 @@ def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select(name, content).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def copy_files(files: DataFrame, path: str, source: str = "path", name: str = "name") -> int:
+    """Copy files into a folder from the executors; those that are not there are left out. The number of copies."""
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        uri = lambda p: p if "://" in p or p.startswith("file:") else f"file://{p}"
+        to, root = fs.FileSystem.from_uri(uri(path))
+        to.create_dir(root, recursive=True)
+        for b in batches:
+            n = 0
+            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                where, at = fs.FileSystem.from_uri(uri(p.replace("file:/", "file:///") if p.startswith("file:/") and not p.startswith("file://") else p))
+                if where.get_file_info(at).is_file:
+                    with where.open_input_stream(at, compression=None) as f, to.open_output_stream(f"{root}/{x}", compression=None) as g:
+                        while chunk := f.read(1 << 20):
+                            g.write(chunk)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select(source, name).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_kept(rows: DataFrame, path: str) -> None:
+    """seq_id and rmsd with four decimals."""
+    from ..operators.trajectory import four_decimals
+
+    write_tsv(rows.select("seq_id", four_decimals(F.col("rmsd")).alias("rmsd")), path, header=True)
+
+
+def write_failed(rows: DataFrame, path: str) -> None:
+    """seq_id, status, rmsd with four decimals, details."""
+    from ..operators.trajectory import four_decimals
+
+    write_tsv(rows.select("seq_id", "status", four_decimals(F.col("rmsd")).alias("rmsd"), F.coalesce("details", F.lit("")).alias("details")), path, header=True)
