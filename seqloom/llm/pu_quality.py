@@ -2,8 +2,8 @@
 
 A network of one hidden layer minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Its inputs are
 rates of a text (symbols, case, repetition and the like) and what its words, pairs of words and runs of four bytes say: each is
-hashed into one of BUCKETS, and the log ratio of a bucket's share of positives to that of all rows, counted over all training rows,
-are averaged over the buckets of the text (of a text that was counted, without itself). Positives are trusted rows (quality 1), the unlabelled rows any web text; the class
+hashed into one of BUCKETS, and the log ratios of a bucket's share of the sampled positives to that of all training rows are
+averaged over the buckets of the text (of a text that was counted, without itself). Positives are trusted rows (quality 1), the unlabelled rows any web text; the class
 prior is the share of quality 1 among the labelled training rows. Labels are read only of rows outside the held-out fold;
 labels, lang, source and doc_id are no inputs. The network is fitted on a bounded sample, at most 1.2 * SAMPLE positives and as
 many unlabelled rows, taken by a hash of doc_id and text; everything is scored.
@@ -84,17 +84,17 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Odds:
-    """Log ratios of every bucket's share of good rows to that of all rows; 0 for a bucket that no row has."""
+    """Log ratios of how many good rows have a bucket to how many would, were they like all rows; near 0 where few rows have it."""
 
     def __init__(self, good: np.ndarray, n: np.ndarray, rows: tuple[int, int]):
-        self.good, self.n, self.share = good, n, (rows[0] + 1) / (rows[1] + 2)
-        self.table = np.log((good + self.share) / ((n + 1) * self.share))
+        self.good, self.n, self.rows = good, n, rows
+        self.table = np.log((good + 1) / (rows[0] * n / max(1, rows[1]) + 1))
 
     def of(self, g: np.ndarray, own: int | None = None) -> np.ndarray:
         """For buckets of a text; own says that it was counted, and as good (1) or not (0): then it is taken out first."""
         if own is None:
             return self.table[g]
-        return np.log((self.good[g] - own + self.share) / (self.n[g] * self.share))
+        return np.log((self.good[g] - own + 1) / ((self.rows[0] - own) * (self.n[g] - 1) / max(1, self.rows[1] - 1) + 1))
 
 
 def learn_odds(rows: DataFrame) -> Odds:
@@ -163,26 +163,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _collect(rows: DataFrame, odds: Odds) -> np.ndarray:
+    """Inputs of the rows of the smallest hashes, 1.2 * SAMPLE at most; texts stay where they are read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([inputs(t.as_py(), odds, own) for t, own in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist())], pa.list_(pa.float64()))], ["x"])
+            x = [inputs(t.as_py(), odds, own) for t, own in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(2), b.column(3)], ["x", "h", "i"])
 
-    got = rows.select("text", "good").mapInArrow(run, "x array<double>").toArrow()["x"].to_pylist()
-    return np.array(got, float).reshape(-1, N_FEATURES)
+    got = rows.select("text", "good", "h", F.xxhash64("text").alias("i")).mapInArrow(run, "x array<double>, h long, i long")
+    return np.array(got.orderBy("h", "i").limit(int(1.2 * SAMPLE)).toArrow()["x"].to_pylist(), float).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fit on samples of the training folds; their sizes are bounded by 1.2 * SAMPLE rows each, the smallest hashes first."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     n1, n0 = (known.agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("quality") != 1).cast("long")), F.lit(0))).first())
-    good = known.where("quality = 1").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.lit(1).alias("good"))
-    open_ = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), "text").join(good, "id", "left").select("id", "text", F.coalesce("good", F.lit(0)).alias("good"))
-    n, m = open_.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    h = F.xxhash64(F.lit("pu"), F.coalesce("id", F.xxhash64("text")))
+    share = lambda k: F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, k)))
+    ids = known.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("h", F.xxhash64(F.lit("pu"), "id"))
+    good = ids.where(share(n1)).orderBy("h").limit(int(1.2 * SAMPLE)).select("id", F.lit(1).alias("good"))
+    open_ = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), "text")
+    # at most 1.2 * SAMPLE ids are broadcast
+    open_ = open_.join(F.broadcast(good), "id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"), h.alias("h"))
     odds = learn_odds(open_.select("text", "good"))
-    h = F.xxhash64(F.lit("pu"), "id", "text")
-    share = lambda k: F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, k)))
-    some = lambda df, k: df.where(share(k)).orderBy(h).limit(int(1.2 * SAMPLE))
-    return Network((n1 + 1) / (n1 + n0 + 2), odds).fit(_collect(some(open_.where("good = 1"), m), odds), _collect(some(open_, n), odds))
+    return Network((n1 + 1) / (n1 + n0 + 2), odds).fit(_collect(open_.where("good = 1"), odds), _collect(open_.where(share(odds.rows[1])), odds))
 
 
 def scores(docs: DataFrame, net: Network) -> DataFrame:

@@ -497,7 +497,7 @@ def test_grams_are_counted_over_all_rows(spark):
         n[i in good].update(set(pu_quality.grams((t or "").encode()).tolist()))
     ratio = odds.of(np.arange(3 * pu_quality.BUCKETS))
     for g in range(len(ratio)):
-        want = math.log((n[1][g] + 21 / 62) / (n[0][g] + n[1][g] + 1) / (21 / 62))  # 20 of 60 are good
+        want = math.log((n[1][g] + 1) / (len(good) * (n[0][g] + n[1][g]) / 60 + 1))
         assert ratio[g] == pytest.approx(want, abs=1e-9)
 
 
