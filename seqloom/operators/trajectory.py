@@ -51,13 +51,13 @@ def ordered(steps: DataFrame) -> DataFrame:
 
 
 def level_rows(steps: DataFrame, max_levels: int = 0) -> DataFrame:
-    """Steps that are midpoints, with level from 0 and seq_id."""
+    """Steps that are midpoints, with level from 1 and seq_id."""
     o = ordered(steps)
     size = o.select("n").distinct().withColumn("levels", _levels(F.col("n")))
-    place = size.select(F.col("n").alias("_n"), F.posexplode("levels").alias("level", "_row")).select("_n", "level", F.explode("_row").alias("_pos"))
+    place = size.select(F.col("n").alias("_n"), F.posexplode("levels").alias("_l", "_row")).select("_n", (F.col("_l") + 1).alias("level"), F.explode("_row").alias("_pos"))
     out = o.join(place, (F.col("n") == F.col("_n")) & (F.col("pos") == F.col("_pos"))).drop("_n", "_pos")
     if max_levels:
-        out = out.where(F.col("level") < max_levels)
+        out = out.where(F.col("level") <= max_levels)
     return out.withColumn("seq_id", F.format_string("%s|step=%d|pos=%d|level=%d", "key", "step", "pos", "level"))
 
 

@@ -346,7 +346,7 @@ def _steps(spark, d) -> DataFrame:
 
 
 @query("""with recursive o as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as pos, count(*) over (partition by conv_id) as n from conversations),
-b as (select n, 0 as lo, n - 1 as hi, 0 as level from (select distinct n from o)
+b as (select n, 0 as lo, n - 1 as hi, 1 as level from (select distinct n from o)
       union all select n, case when s = 0 then lo else (lo + hi) // 2 end, case when s = 0 then (lo + hi) // 2 else hi end, level + 1 from b, (values (0), (1)) t(s) where hi - lo > 1),
 m as (select n, level, (lo + hi) // 2 as pos from b where hi - lo > 1)
 select 'layer1|pair' || conv_id || '|step=' || turn || '|pos=' || pos || '|level=' || level as seq_id, level::int as level, pos::int as pos from o join m using (n, pos)""")

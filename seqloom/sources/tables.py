@@ -111,15 +111,15 @@ def copy_files(files: DataFrame, path: str, source: str = "path", name: str = "n
     return files.select(source, name).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def write_kept(rows: DataFrame, path: str) -> None:
+def write_kept(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """seq_id and rmsd with four decimals."""
     from ..operators.trajectory import four_decimals
 
-    write_tsv(rows.select("seq_id", four_decimals(F.col("rmsd")).alias("rmsd")), path, header=True)
+    write_tsv(rows.select("seq_id", four_decimals(F.col("rmsd")).alias("rmsd")), path, mode=mode)
 
 
-def write_failed(rows: DataFrame, path: str) -> None:
+def write_failed(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """seq_id, status, rmsd with four decimals, details."""
     from ..operators.trajectory import four_decimals
 
-    write_tsv(rows.select("seq_id", "status", four_decimals(F.col("rmsd")).alias("rmsd"), F.coalesce("details", F.lit("")).alias("details")), path, header=True)
+    write_tsv(rows.select("seq_id", "status", four_decimals(F.col("rmsd")).alias("rmsd"), F.coalesce("details", F.lit("")).alias("details")), path, mode=mode)
