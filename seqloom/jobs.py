@@ -9,10 +9,10 @@ import importlib
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import stats, text
+from .functions import stats
 from .operators import disorder, layers, neighbors, trajectory, validate
 from .sources import fasta, pdb, tables
 
@@ -24,13 +24,6 @@ def listing(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath()) for s in found or [])
 
 
-def numbered(pairs: DataFrame) -> DataFrame:
-    """pairs with line, the place of each line in the table: line_no, counted on from part file to part file."""
-    size = pairs.groupBy("f").agg(F.max("line_no").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pairs.join(size.select("f", before.alias("_before")), "f").withColumn("line", (F.col("_before") + F.col("line_no")).cast("int")).drop("_before")
-
-
 def model_predictor(spark: SparkSession, a: argparse.Namespace) -> disorder.Predictor | None:
     """The predictor of the given tables, each one bounded by the alphabet or its bins; none without a matrix."""
     if not a.matrix:
@@ -104,7 +97,7 @@ def run_pair_validations(spark: SparkSession, a: argparse.Namespace) -> int:
         if not listing(spark, records):
             print(f"missing {records}, layer {layer} is left out")
             continue
-        p = numbered(tables.read_pairs(spark, path)).withColumn("layer", F.lit(layer)).drop("f", "line_no")
+        p = tables.numbered(tables.read_pairs(spark, path)).withColumn("layer", F.lit(layer)).drop("f", "line_no")
         s = fasta.read(spark, records, normal=False).select(F.lit(layer).alias("layer"), "idx", "seq")
         pairs, seqs = (p, s) if pairs is None else (pairs.union(p), seqs.union(s))
     if pairs is None:
@@ -122,7 +115,7 @@ def run_pair_validations(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def debug_max_lev(spark: SparkSession, a: argparse.Namespace) -> int:
-    pair = validate.farthest(numbered(tables.read_pairs(spark, a.pairs)).withColumn("line_no", F.col("line")), a.max_lev)
+    pair = validate.farthest(tables.numbered(tables.read_pairs(spark, a.pairs)).withColumn("line_no", F.col("line")), a.max_lev)
     located = validate.located(pair, fasta.read(spark, a.fasta, normal=False).select("idx", "seq"))
     r = validate.paths(located, None if a.no_validator else model_predictor(spark, a), options(a, prob=1.0)).first()
     print(f"idx1={r.idx1} idx2={r.idx2} lev={r.lev} status={r.status} distance={r.distance}")
@@ -147,11 +140,10 @@ def run_trajectory_layers(spark: SparkSession, a: argparse.Namespace) -> int:
             print(f"level {level}: {fatal[0]}")
             return 2
         kept, failed = trajectory.split(got)
-        files = got.where("structure is not null").select(F.concat(text.sanitize(F.col("seq_id")), F.lit(".pdb")).alias("name"), F.col("structure").alias("content"))
+        files = got.where("structure is not null").select(F.concat("seq_id", F.lit(".pdb")).alias("name"), F.col("structure").alias("content"))
         tables.write_files(files, f"{here}/pdbs")
-        mode = "append" if a.skip_existing else "overwrite"
-        tables.write_kept(kept, f"{here}/kept.tsv", mode)
-        tables.write_failed(failed, f"{here}/failed.tsv", mode)
+        tables.write_kept(kept, f"{here}/kept.tsv", "append")
+        tables.write_failed(failed, f"{here}/failed.tsv", "append")
         print(f"level {level}: {got.count()} done")
     return 0
 

@@ -4,11 +4,14 @@ Sequences are the whole texts of benchmark, normalised; trajectories are the con
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import disorder, editpath, layers, neighbors, trajectory, validate
+from ..sources import fasta, pdb, tables
 
 K, M = 4, 20
 SEARCH = editpath.Limits(nodes=2_000, tell=True)  # a stated bound of these queries; pairs that hit it have a status of their own
@@ -80,6 +83,53 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 # Sources and scalar functions
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{layers.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_BODY = "'M' || replace(coalesce(text, ''), '>', ' ')"
+
+
+@query(f"select (row_number() over (order by doc_id) - 1)::int as idx, 'doc' || doc_id as id, 'doc' || doc_id || ' ' || source as header, seq, length(seq)::int as len from (select doc_id, source, {_NORM.format(_BODY)} as seq from documents)")
+def fasta_scan(spark, d):
+    """All documents written as FASTA, their lines as they are but for the mark of headers, and read back."""
+    t, path = table(spark, d, "documents"), _scratch(spark, "fasta")
+    header = F.concat(F.lit("doc"), "doc_id", F.lit(" "), "source").alias("header")
+    body = F.concat(F.lit("M"), F.replace(F.coalesce("text", F.lit("")), F.lit(">"), F.lit(" "))).alias("seq")
+    fasta.write(t.orderBy("doc_id").select(header, body), path)
+    return fasta.read(spark, path)
+
+
+@query(NN + " select row_number() over (order by idx1, idx2)::int as line, id1, id2, idx1, idx2, lev from pairs")
+def pairs_table(spark, d):
+    path = _scratch(spark, "pairs")
+    tables.write_pairs(nn_pairs(spark, d), path)
+    return tables.numbered(tables.read_pairs(spark, path)).select("line", "id1", "id2", "idx1", "idx2", "lev")
+
+
+@query(NN + " select * from directed")
+def directed_table(spark, d):
+    path = _scratch(spark, "directed")
+    tables.write_directed(neighbors.directed(seqs(spark, d), K, M), path)
+    return tables.read_tsv(spark, path, tables.DIRECTED)
+
+
+@query(f"with {SEQS} select f.idx, f.header as id, f.header, f.seq, length(f.seq)::int as len from (select (row_number() over (order by id) - 1)::int as idx, id || '|chain:' || case when idx % 2 = 0 then 'A' else '_' end as header, seq from seqs) f")
+def pdb_chains(spark, d):
+    """Sequences written as PDB text, those of even idx as SEQRES records of chain A beside atoms that do not count, the others
+    as two atoms a residue of a blank chain, a file each, and read back."""
+    three = {v: k for k, v in text.THREE_TO_ONE.items() if k != "MSE"}
+    code = F.create_map(*[F.lit(x) for kv in three.items() for x in kv])
+    names, path = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: F.element_at(code, c)), _scratch(spark, "pdb")
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 13)), lambda i: F.concat(F.lit("SEQRES     A       "), F.array_join(F.slice("_names", (i * 13 + 1).cast("int"), 13), " ")))
+    atom = lambda kind, c, i, chain: F.concat(F.lit(f"ATOM         {kind:4s}"), c, F.lit(f" {chain}"), F.lpad((i + 1).cast("string"), 4, " "), F.lit("    "))
+    atoms = F.flatten(F.transform("_names", lambda c, i: F.array(atom(" N", c, i, " "), atom(" CA", c, i, " "))))
+    whole = F.when(F.col("idx") % 2 == 0, F.concat(rows, F.array(atom(" CA", F.lit("TRP"), F.lit(0), "A")))).otherwise(atoms)
+    files = seqs(spark, d).withColumn("_names", names).select(F.concat("id", F.lit(".pdb")).alias("name"), F.array_join(whole, "\n").alias("content"))
+    tables.write_files(files, path)
+    return pdb.sequences(spark, path)
+
+
 @query(f"select doc_id, {_NORM.format('text')} as seq, length({_NORM.format('text')})::int as len from documents")
 def fasta_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("seq")).withColumn("len", F.length("seq"))
@@ -253,7 +303,11 @@ def _names(spark, d) -> DataFrame:
     return n.join(n.select(F.col("a").alias("b"), "p_size"), "p_size").where("a <> b").select("a", "b").distinct()
 
 
-@query()
+@query("""with recursive n as (select distinct a.p_name as a, b.p_name as b from part a join part b on a.p_size = b.p_size and a.p_name <> b.p_name),
+r as (select a, b, 0 as i, range(0, length(b) + 1) as cur, []::bigint[] as prev from n
+      union all select a, b, i + 1, list_transform(range(1, length(b) + 2), lambda p: list_min(list_transform(range(1, p + 1), lambda k: c[k] - k)) + p), cur from
+      (select *, [i + 1] || list_transform(range(1, length(b) + 1), lambda j: least(cur[j + 1] + 1, cur[j] + (a[i + 1] <> b[j])::int, case when i >= 1 and j >= 2 and a[i + 1] = b[j - 1] and a[i] = b[j] then prev[j - 1] + 1 else 1000000 end)) as c from r where i < length(a)))
+select a, b, cur[length(b) + 1]::int as distance from r where i = length(a)""")
 def osa_distance(spark, d):
     return _names(spark, d).withColumn("distance", editpath.osa_column(F.col("a"), F.col("b")))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAIRS = "id1 string, id2 string, idx1 int, idx2 int, len1 int, len2 int, lev int, method string"
@@ -18,8 +20,6 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False)
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Pairs with line_no, the physical 1-based line; blank lines and those of under four columns are skipped but counted."""
-    from pyspark.sql import Window
-
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m"))
     raw = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("f").orderBy("m")))
     c = F.split("value", "\t")
@@ -28,6 +28,13 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return raw.where((F.trim("value") != "") & (F.size(c) >= 4)).select("f", "line_no", at(0, "string").alias("id1"), at(1, "string").alias("id2"), at(2, "int").alias("idx1"), at(3, "int").alias("idx2"), lev.alias("lev"))
 
 
+def numbered(pairs: DataFrame) -> DataFrame:
+    """pairs with line, the place of each line in the table: line_no, counted on from part file to part file."""
+    size = pairs.groupBy("f").agg(F.max("line_no").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return pairs.join(size.select("f", before.alias("_before")), "f").withColumn("line", (F.col("_before") + F.col("line_no")).cast("int")).drop("_before")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).where(F.trim("value") != "").select(c[0].alias("aa1"), c[1].alias("aa2"), c[2].cast("double").alias("e"))
@@ -69,6 +76,12 @@ def write_results(results: DataFrame, path: str) -> None:
     write_tsv(results.select([c.split()[0] for c in RESULTS.split(", ")]).orderBy("layer", "line"), path, header=True)
 
 
+def _uri(path: str) -> str:
+    """A path as pyarrow's file systems want it: file:/x and /x as file:///x, characters that no address may hold escaped."""
+    safe = quote(path, safe="/:@?=&%+,~")
+    return safe if "://" in safe else "file://" + safe.removeprefix("file:")
+
+
 def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> int:
     """One file per row through pyarrow's file systems, from the executors; the number of files."""
 
@@ -76,7 +89,7 @@ def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "
         import pyarrow as pa
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        where, root = fs.FileSystem.from_uri(_uri(path))
         where.create_dir(root, recursive=True)
         for b in batches:
             for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -94,13 +107,12 @@ def copy_files(files: DataFrame, path: str, source: str = "path", name: str = "n
         import pyarrow as pa
         from pyarrow import fs
 
-        uri = lambda p: p if "://" in p or p.startswith("file:") else f"file://{p}"
-        to, root = fs.FileSystem.from_uri(uri(path))
+        to, root = fs.FileSystem.from_uri(_uri(path))
         to.create_dir(root, recursive=True)
         for b in batches:
             n = 0
             for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                where, at = fs.FileSystem.from_uri(uri(p.replace("file:/", "file:///") if p.startswith("file:/") and not p.startswith("file://") else p))
+                where, at = fs.FileSystem.from_uri(_uri(p))
                 if where.get_file_info(at).is_file:
                     with where.open_input_stream(at, compression=None) as f, to.open_output_stream(f"{root}/{x}", compression=None) as g:
                         while chunk := f.read(1 << 20):
