@@ -131,7 +131,7 @@ def write_kept(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_failed(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """seq_id, status, rmsd with four decimals, details."""
+    """seq_id, status, rmsd with four decimals, details in one line."""
     from ..operators.trajectory import four_decimals
 
-    write_tsv(rows.select("seq_id", "status", four_decimals(F.col("rmsd")).alias("rmsd"), F.coalesce("details", F.lit("")).alias("details")), path, mode=mode)
+    write_tsv(rows.select("seq_id", "status", four_decimals(F.col("rmsd")).alias("rmsd"), F.regexp_replace(F.coalesce("details", F.lit("")), r"[\t\r\n]+", " ").alias("details")), path, mode=mode)

@@ -96,3 +96,9 @@ def test_extraction(spark, tmp_path, capsys):
     assert main(["extract_pdb_sequences", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out.fasta"], spark) == 0
     assert [(r.id, r.seq) for r in fasta.read(spark, f"{tmp_path}/out.fasta").collect()] == [("a|chain:A", "AGM")]
     assert "n: 1" in capsys.readouterr().out
+
+
+def test_failures_take_one_line(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "error", float("inf"), "one\n\ttwo"), ("b", "bad_rmsd", 2.5, None)], tables.FAILED)
+    tables.write_failed(rows.coalesce(1), str(tmp_path / "f"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "f")).collect()] == ["a\terror\tinf\tone two", "b\tbad_rmsd\t2.5000\t"]
