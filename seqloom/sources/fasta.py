@@ -22,7 +22,8 @@ def read(spark: SparkSession, path: str, normal: bool = True, strict: bool = Fal
     rec = dense(rec, "idx", ["m"], F.struct("f", "b"))
     lines = F.split("value", "\r?\n")
     header = F.element_at(lines, 1)
-    body = F.array_join(F.transform(F.slice(lines, 2, 1 << 30), F.trim), "")
+    # F.trim itself would be handed the line's place as the characters to cut off
+    body = F.array_join(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.trim(x)), "")
     seq = normalize(body, strict) if normal else body
     out = rec.select("idx", "headless", first_token(header, default_id).alias("id"), F.trim(header).alias("header"), seq.alias("seq"))
     if normal:

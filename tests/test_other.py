@@ -25,6 +25,14 @@ def test_fasta(spark, tmp_path):
     assert fasta.one_sequence(spark, str(tmp_path / "a.fasta")).first().seq == "acdE-F*BZ U"
 
 
+def test_fasta_lines_keep_digits(spark, tmp_path):
+    """Lines that begin or end with the digit of their own place, and blanks at both ends."""
+    (tmp_path / "a.fasta").write_text(">a\n0AC0\n1DE1\n  2F2 \n>b\nW10\n")
+    read = lambda **kw: [(x.seq, x.len) for x in fasta.read(spark, str(tmp_path / "a.fasta"), **kw).orderBy("idx").collect()]
+    assert read(normal=False) == [("0AC01DE12F2", 11), ("W10", 3)]
+    assert read() == [("XACXXDEXXFX", 11), ("WXX", 3)]
+
+
 def test_pairs_keep_physical_lines(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("a\tb\t0\t1\t3\t4\t2\tm\n\nx\ty\n c\td\t2\t3\n")
     r = tables.read_pairs(spark, str(tmp_path / "p.tsv")).orderBy("line_no").collect()
