@@ -204,6 +204,13 @@ def test_probabilities_after_a_context_add_up_to_one():
         assert a > 0 < a1 and 0 < d < 1 and 0 < d1 < 1
 
 
+def test_no_pair_comes_twice(spark):
+    """A partition without a dish of two customers, as small ones have in a large corpus."""
+    rows = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "doc_id long, text string")
+    assert all(r.score < 0 and r.n_tokens for r in pitman_yor.score(rows.where("doc_id < 3")).collect())
+    assert pitman_yor.unpack(pitman_yor.pack(np.zeros(0, np.uint64)), np.uint64).tolist() == []
+
+
 def test_digamma():
     x = np.array([0.1, 1.0, 3.5, 40.0])
     h = 1e-5
