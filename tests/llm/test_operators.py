@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from seqloom.llm import extract, minhash, mixing, multi_index, packing, pitman_yor, pu_quality, quality_rules, run_index, warc
@@ -204,6 +205,23 @@ def test_probabilities_after_a_context_add_up_to_one():
         assert a > 0 < a1 and 0 < d < 1 and 0 < d1 < 1
 
 
+def test_a_sweep_moves_every_customer():
+    """One sweep of a restaurant that starts with a table a dish: the large dishes split as the posterior has it."""
+    v = 130
+    n = np.where(np.arange(v) < 100, 30, 2000)  # side by side, and one dish after the other
+    packed = [pitman_yor.pack_sorted(np.arange(v, dtype=np.uint64)), pitman_yor.pack(np.arange(v).astype(np.uint32)), pitman_yor.pack_sorted(np.zeros(1, np.uint64)), pitman_yor.pack(np.array([v], np.uint32)), pitman_yor.pack(n.astype(np.uint64))]
+    s = pitman_yor.State(*packed)
+    model = pitman_yor.Model((100.0, 2.0, 0.5), (0.5, 0.5, 0.4), float(v), float(v), v, int(n.sum()))
+    rng = np.random.default_rng(1)
+    got = []
+    for _ in range(20):
+        s.sweep(model, np.full(v, 1 / v), rng)
+        assert (np.bincount(np.repeat(s.low.dish, s.low.t), s.low.sizes) == n).all()
+        got.append((s.t[:100].mean(), s.t[100:].mean()))
+    late = np.mean(got[10:], axis=0)
+    assert (np.array(got[0]) > late / 2).all()
+
+
 def test_no_pair_comes_twice(spark):
     """A partition without a dish of two customers, as small ones have in a large corpus."""
     rows = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "doc_id long, text string")
@@ -211,6 +229,55 @@ def test_no_pair_comes_twice(spark):
     assert pitman_yor.unpack(pitman_yor.pack(np.zeros(0, np.uint64)), np.uint64).tolist() == []
 
 
+def test_shards_of_a_partition(spark, tmp_path):
+    """A partition in shards: rows of the same counts, probabilities after a context that add up to 1 over all shards."""
+    docs = spark.createDataFrame([(i, prose(40)) for i in range(300)], "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in pitman_yor.score(docs, k).collect()} for k in (1 << 40, 500))
+    for i, r in one.items():
+        assert r[:6] == pytest.approx(many[i][:6], rel=1e-12) and r.score == pytest.approx(many[i].score, rel=0.05)
+    text_ = pa.table({"text": pa.array([prose(200) for _ in range(20)]), "held_out": [False] * 20, "chunk": pa.array([0] * 20, pa.int32())})
+    asks = pitman_yor._count(1)(text_).to_batches()
+    for b in pitman_yor._merge(200)(iter(asks)):
+        (tmp_path / f"part=0/shard={b['shard'][0]}").mkdir(parents=True)
+        pq.write_table(pa.Table.from_batches([b]), tmp_path / f"part=0/shard={b['shard'][0]}/x.parquet")
+    p, rng = pitman_yor.Part(f"file://{tmp_path}", 0), np.random.default_rng(0)
+    assert len(p.shards) > 2
+    vocab = {k: p.get(k).vocab for k in p.shards}
+    words = np.unique(np.concatenate(list(vocab.values())))
+    model = pitman_yor.Model((1.0, 2.0, 0.5), (0.7, 0.5, 0.4), 0.0, 0.0, len(words), 0)
+    roots = {k: np.full(len(v), 1 / len(words)) for k, v in vocab.items()}
+    for _ in range(3):
+        for k in p.shards:
+            s = p.get(k)
+            s.sweep(model, roots[k], rng)
+            p.put(k, s)
+    whole = collections.Counter()
+    for k in p.shards:
+        s = p.get(k)
+        assert (s.n == p.read(k).n).all() and len(set(zip(s.ctx.tolist(), s.w.tolist()))) == len(s.n)
+        for c, x in zip(s.names[s.ctx].tolist(), s.predictive(model, roots[k]).tolist()):
+            whole[c] += x
+    # the words that a context was not asked for have their parent's share
+    a, d = model.strength[0], model.discount[0]
+    for i, c in enumerate(p.names.tolist()):
+        e = int(np.searchsorted(p.ending_names, c >> 40))
+        a1, d1 = model.strength[1], model.discount[1]
+        rest = 0.0
+        for k in p.shards:
+            s = p.get(k)
+            parent = (a1 + d1 * p.high_tables[e]) * roots[k] / (a1 + p.customers[e])
+            at = np.searchsorted(s.ending_names, c >> 40)
+            if at < s.endings and s.ending_names[at] == c >> 40:
+                mine = s.ending == at
+                parent[s.word[mine]] = s.parent(model, roots[k])[mine]
+            ctx = np.searchsorted(s.names, c)
+            asked = s.w[s.ctx == ctx] if ctx < s.contexts and s.names[ctx] == c else []
+            parent[asked] = 0
+            # a word of several shards' vocabularies is in one shard only
+            rest += parent.sum()
+        assert whole[c] + (a + d * p.tables[i]) * rest / (a + p.total_n[i]) == pytest.approx(1, abs=1e-9)
+
+
 def test_digamma():
     x = np.array([0.1, 1.0, 3.5, 40.0])
     h = 1e-5
