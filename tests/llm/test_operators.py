@@ -222,6 +222,39 @@ def test_a_sweep_moves_every_customer():
     assert (np.array(got[0]) > late / 2).all()
 
 
+def test_auxiliary_variables_of_old_tables():
+    """Of all tables of a dish, against all ways to seat 12 customers one after the other."""
+    d, pull, n, k = 0.6, 1.5, 12, 6000
+    p, want = {1: 1.0}, 0.0
+    for j in range(1, n):
+        to = collections.Counter()
+        for t, x in p.items():
+            room = j - d * t
+            want += x * room / (room + pull) * t * (1 - d) / room
+            to[t] += x * room / (room + pull)
+            to[t + 1] += x * pull / (room + pull)
+        p = to
+    for few in (np.full(k, n), np.full(30, n)):  # side by side, and one dish after the other
+        old = []
+        for _ in range(k // len(few)):
+            pitman_yor.seat(few, np.full(len(few), pull), d, np.random.default_rng(_), old)
+        assert sum(old) / k == pytest.approx(want, rel=0.02)
+
+
+def test_rounds_go_on_until_the_tables_settle(spark, monkeypatch):
+    """A corpus whose tables still change after two rounds."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(r.randint(20, 120), r)) for i in range(400)], "doc_id long, text string")
+    rounds, tables, one, sure = [], [], pitman_yor._round, pitman_yor.settled
+    monkeypatch.setattr(pitman_yor, "_round", lambda *x: rounds.append(x[1]) or one(*x))
+    monkeypatch.setattr(pitman_yor, "settled", lambda *x: tables.append(x) or sure(*x))
+    assert all(x.score < 0 for x in pitman_yor.score(docs).collect())
+    assert rounds == list(range(len(rounds))) and len(rounds) > 2
+    for before, now in tables:
+        assert all(abs(y - x) <= max(0.01 * x, 3 * math.sqrt(x)) for x, y in zip(before, now)) == (now is tables[-1][1])
+    assert not pitman_yor.settled([1e6, 1e6, 1e6], [1e6, 1e6, 1.02e6])
+
+
 def test_no_pair_comes_twice(spark):
     """A partition without a dish of two customers, as small ones have in a large corpus."""
     rows = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "doc_id long, text string")
