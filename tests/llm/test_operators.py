@@ -222,6 +222,36 @@ def test_a_sweep_moves_every_customer():
     assert (np.array(got[0]) > late / 2).all()
 
 
+@pytest.mark.parametrize(("side", "near"), [(256, 64), (4, 2)])
+def test_tables_of_a_dish_are_drawn_together(side, near, monkeypatch):
+    """All dishes at once or one by one: numbers of tables and expected sums against all seatings of 7 customers."""
+    monkeypatch.setattr(pitman_yor, "SIDE", side)
+    d, pull, n, k = 0.6, 1.5, 7, 4000
+    p, own = np.zeros(n + 1), np.zeros(n + 1)
+    for x in partitions(n):
+        w = pull ** len(x) * math.prod(j - d for size in x for j in range(1, size))
+        p[len(x)] += w
+        own[len(x)] += w * sum(1 / (j - d) for size in x for j in range(1, size))
+    t, sums = pitman_yor.draw(np.full(k, n), np.full(k, pull), d, np.random.default_rng(4), near)
+    assert np.abs(np.bincount(t, minlength=n + 1) / k - p / p.sum()).max() < 0.03
+    assert sums == pytest.approx(own[t] / p[t])
+
+
+def test_later_sweeps_draw_small_dishes(monkeypatch):
+    """No dish of up to DIRECT customers is moved customer by customer once it is seated."""
+    v, n = 70, np.full(70, 3000)
+    packed = [pitman_yor.pack_sorted(np.arange(v, dtype=np.uint64)), pitman_yor.pack(np.arange(v).astype(np.uint32)), pitman_yor.pack_sorted(np.zeros(1, np.uint64)), pitman_yor.pack(np.array([v], np.uint32)), pitman_yor.pack(n.astype(np.uint64))]
+    s, rng = pitman_yor.State(*packed), np.random.default_rng(2)
+    model = pitman_yor.Model((10.0, 2.0, 0.5), (0.5, 0.5, 0.4), float(v), float(v), v, int(n.sum()))
+    s.sweep(model, np.full(v, 1 / v), rng)
+    moves = []
+    for name in ("move", "move_one"):
+        monkeypatch.setattr(pitman_yor.Tables, name, lambda *x, f=getattr(pitman_yor.Tables, name): moves.append(1) or f(*x))
+    before = s.t.copy()
+    s.sweep(model, np.full(v, 1 / v), rng)
+    assert not moves and (s.t != before).any() and (s.t <= n).all()
+
+
 def test_auxiliary_variables_of_old_tables():
     """Of all tables of a dish, against all ways to seat 12 customers one after the other."""
     d, pull, n, k = 0.6, 1.5, 12, 6000
